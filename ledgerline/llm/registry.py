@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ledgerline.llm import mixing, secrets
+from ledgerline.llm import mixing, secrets, substrings
 
-_MODULES = (mixing, secrets)
+_MODULES = (mixing, secrets, substrings)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
