@@ -4,7 +4,7 @@ Tokens are runs of letters and digits, lower-cased. A token's log-odds of standi
 text come from counts with hierarchical Dirichlet priors: the prior of a word is the estimate
 for its first six bytes, whose prior is that of the first five, then four, then the share of
 toxic tokens; ``strength`` pseudo-counts each. A token counts once a document, in hashed tables
-of fixed size.
+of fixed size; words in two, of which the lower estimate holds.
 
 Log-odds, less some of their standard deviations and a drift, are scores whose expectation over clean text is negative. One linear scan
 (Ruzzo and Tompa) finds all maximal scoring segments of a document. Their significance follows
@@ -34,7 +34,7 @@ from ledgerline.llm.labelled import MAX_LABELLED, held_out, training_sample
 
 U = np.uint64
 PREFIXES = (6, 5, 4)
-BITS = (20, 18, 18, 18)  # of the tables of words and of the prefixes
+BITS = (19, 19, 18, 18, 18)  # of the two tables of words and of the prefixes
 STRENGTH = 10.0
 DEVIATIONS, DRIFT, LEAST, MOST = 1.5, 0.3, -1.0, 6.0
 LOG_SIGNIFICANT = math.log(0.01)  # of E-values
@@ -54,19 +54,21 @@ def _lower(data: np.ndarray) -> np.ndarray:
 
 
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per token the four table places; starts, ends as bytes; first token of each row (one more)."""
+    """Per token the five table places; starts, ends as bytes; first token of each row (one more)."""
     data, offsets = T.text_bytes(column)
     data = _lower(data)
     starts, ends = T.runs(_LETTER[data], offsets)
     first = np.searchsorted(starts, offsets)
-    places = np.empty((4, len(starts)), np.int64)
-    places[0] = (T.hashes(data, starts, ends) & U((1 << BITS[0]) - 1)).astype(np.int64)
+    places = np.empty((5, len(starts)), np.int64)
+    word = T.hashes(data, starts, ends)
+    places[0] = (word & U((1 << BITS[0]) - 1)).astype(np.int64)
+    places[1] = (word >> U(64 - BITS[1])).astype(np.int64) + _AT[1]
     h, size = np.zeros(len(starts), U), ends - starts
     for j in range(max(PREFIXES)):
         inside = size > j
         h += np.where(inside, T._BYTE[data[np.where(inside, starts + j, 0)]] * T._powers(16)[j], U(0)) if len(starts) else U(0)
         if j + 1 in PREFIXES:
-            k = PREFIXES.index(j + 1) + 1
+            k = PREFIXES.index(j + 1) + 2
             places[k] = (T.mix64(h) & U((1 << BITS[k]) - 1)).astype(np.int64) + _AT[k]
     return places, first, np.stack([starts, ends])
 
@@ -81,13 +83,20 @@ class Model:
     weights: tuple[float, float, float] = (0.0, 0.0, 0.0)
 
     def scores(self, places: np.ndarray) -> np.ndarray:
-        q = np.full(places.shape[1], self.base, np.float32)
-        for k in (3, 2, 1, 0):
+        def estimate(k, prior):
             clean, toxic = self.counts[0][places[k]], self.counts[1][places[k]]
-            toxic, clean = toxic + self.strength * q, clean + self.strength * (1 - q)
+            return clean + self.strength * (1 - prior), toxic + self.strength * prior
+
+        q = np.full(places.shape[1], self.base, np.float32)
+        for k in (4, 3, 2):
+            clean, toxic = estimate(k, q)
             q = toxic / (toxic + clean)
-        odds = np.log(q) - np.log1p(-q) - np.float32(math.log(self.base) - math.log1p(-self.base))
-        return np.clip(odds - DEVIATIONS * np.sqrt(1 / toxic + 1 / clean) - DRIFT, LEAST, MOST)
+        least = None
+        for k in (0, 1):  # a word that shares a place in one table seldom does in the other
+            clean, toxic = estimate(k, q)
+            odds = np.log(toxic / clean) - np.float32(math.log(self.base) - math.log1p(-self.base)) - DEVIATIONS * np.sqrt(1 / toxic + 1 / clean)
+            least = odds if least is None else np.minimum(least, odds)
+        return np.clip(least - DRIFT, LEAST, MOST)
 
     def log_e(self, s: float, n: int) -> float:
         """Log of the expected number of clean segments of that score in n tokens."""
@@ -138,7 +147,7 @@ def fit(sample: DataFrame, strength: float = STRENGTH) -> Model | None:
             row = np.repeat(np.arange(batch.num_rows), np.diff(first))
             y = batch.column("y").to_numpy()[row]
             for label in (0, 1):
-                for k in range(4):
+                for k in range(5):
                     once = np.unique(np.stack([row[y == label], places[k][y == label]]), axis=1)[1] if (y == label).any() else []
                     kept[label] += np.bincount(once, minlength=_AT[-1])
         for label in (0, 1):
