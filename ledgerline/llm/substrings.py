@@ -9,10 +9,10 @@ leaves below one internal node at that depth, found by sorting the suffixes by t
 part: the leaves outside the smallest document id are repeats, and the runs of words they cover
 are removed.
 
-Skew: before the shuffle each slice of input (about 16 MB) keeps, of the leaves below one node,
+Skew: before the shuffle each slice of input (about 8 MB) keeps, of the leaves below one node,
 only those of its smallest document; the others are repeats already. So a window that stands in
 a third of all documents reaches its group once a slice. Suffixes travel as packed arrays of
-9 or 10 bytes each, repeats as packed arrays by document bucket.
+about ten bytes each, repeats as packed arrays by document bucket.
 
 Defined results: null or empty texts have no words; a row with a null id keeps all words and
 removes nothing elsewhere; rows with one id are one document (texts alike); texts shorter than
@@ -33,7 +33,7 @@ from ledgerline.llm import tokens as T
 from ledgerline.llm.common import table
 
 WINDOW = 13
-SLICE = 16 << 20
+SLICE = 8 << 20
 #: Bytes of text whose suffixes a task holds: about 2.5 million, 50 bytes of memory each.
 TASK_BYTES = 16 << 20
 #: Prefixes are lengthened from this share of all suffixes on, or a quarter of a task's: so many at most.
@@ -83,12 +83,10 @@ def _frequent(window: int, share: float):
 
 
 def _pack(h: np.ndarray, at: np.ndarray, ids: np.ndarray, first: np.ndarray) -> bytes:
-    """h: sorted. Differences in 6 or 8 bytes, places in 3 or 4; the table of documents compressed."""
-    diff = np.diff(h, prepend=U(0))
-    wide = 6 if diff[1:].size == 0 or diff[1:].max() < U(1 << 48) else 8
-    lead = int(h[0]) if len(h) else 0
-    diff[:1] = 0
-    narrow = 3 if len(at) == 0 or at.max() < 1 << 24 else 4
+    """h: sorted, not empty. Differences and places in as many bytes as the largest takes; the table of documents compressed."""
+    diff = np.diff(h, prepend=h[0])
+    wide, narrow = max(1, -(-int(diff.max()).bit_length() // 8)), max(1, -(-int(at.max()).bit_length() // 8))
+    lead = int(h[0])
     docs = zlib.compress(np.concatenate([np.diff(ids, prepend=0), np.diff(first, prepend=0)]).astype("<i8").tobytes(), 1)
     head = np.array([len(h), wide, narrow, len(ids), len(docs)], "<i8").tobytes() + np.array([lead], "<u8").tobytes()
     return head + docs + diff.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide].tobytes() + at.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :narrow].tobytes()
@@ -264,7 +262,7 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     found = found.withColumn("total", total).where((F.col("size") > 0) & (F.col("n") >= F.col("total") * share)).collect()  # 1 / share a level at most
     frequent = {k: np.sort(np.array([r.prefix for r in found if r["size"] == k], np.int64).view(U)) for k in prefix_lengths(window)[:-1]}
     kind = "part int, marks boolean, blob binary"
-    dealt = usable.mapInArrow(_deal(window, frequent, 3 * parts, parts), kind).repartition(parts, "part", "marks")
+    dealt = usable.mapInArrow(_deal(window, frequent, parts + parts // 2, parts), kind).repartition(parts, "part", "marks")
     marks = dealt.mapInArrow(_subtrees(parts), kind)
     marks = marks.select(F.col("part").alias("bucket"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.col("blob").alias("mark"))
     bucket = F.coalesce((F.pmod("doc_id", F.lit(PRIME)) * SPREAD) % PRIME % parts, F.lit(0)).cast("int")
