@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ledgerline.llm import mixing, quality, secrets, substrings, toxicity
+from ledgerline.llm import mixing, packing, quality, secrets, substrings, toxicity
 
-_MODULES = (quality, mixing, toxicity, secrets, substrings)
+_MODULES = (quality, mixing, toxicity, secrets, packing, substrings)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
