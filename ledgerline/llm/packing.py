@@ -7,9 +7,9 @@ once, and texts with a character from U+0250 on go to the tokenizer whole, so id
 
 A document is its ids and an end id. One longer than ``capacity`` is cut into full pieces, the
 first of which may be shorter. Packing needs only how many pieces have each length: from the
-longest down, a length's gap is filled exactly by one, two or three available lengths, found in
-indexes of their sums; as many sequences as the counts allow take that combination. What has no
-exact complement is packed best-fit, longest first. The plan's size depends on the capacity, not
+longest down, a length's gap is filled exactly by one available length, then by two, then by
+three, found by their sums; as many sequences as the counts allow take that combination. What has
+no exact complement is packed best-fit, longest first. The plan's size depends on the capacity, not
 on the corpus. Pieces take their places by rank within their length; ranks are counted in two
 levels, so a length that many documents share is spread over many tasks.
 
@@ -167,53 +167,43 @@ def piece_table(docs: DataFrame, *, text_col: str = "text", vocabulary: str | No
     return docs.select("doc_id", F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of a sequence, number of such sequences), for so many pieces of each length."""
-    left = np.zeros(capacity + 1, np.int64)
-    for n, c in counts.items():
-        left[n] = c
+def _exact(left: np.ndarray, capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:
+    """Sequences filled exactly by a length and up to ``most`` more, taken out of ``left``: all singles, then pairs, then triples."""
     out: list[tuple[tuple[int, ...], int]] = []
 
-    def take(lengths: tuple[int, ...]) -> None:
-        used = {n: lengths.count(n) for n in lengths}
-        times = min(int(left[n]) // k for n, k in used.items())
-        out.append((lengths, times))
-        for n, k in used.items():
-            left[n] -= times * k
-
     def fits(lengths: tuple[int, ...]) -> bool:
         return all(left[n] >= lengths.count(n) for n in lengths)
 
-    def pair(total: int, most: int, held: tuple[int, ...]) -> tuple[int, int] | None:
-        """The pair of available lengths with that sum whose larger one is largest."""
-        a = np.arange(min(most, total - 1), (total - 1) // 2, -1)
-        for x in a[(left[a] > 0) & (left[total - a] > 0)].tolist():
-            if fits((*held, x, total - x)):
-                return x, total - x
+    def sum_of(total: int, parts: int, largest: int, held: tuple[int, ...]) -> tuple[int, ...] | None:
+        """Available lengths with that sum, the largest first, beside those held."""
+        if parts == 1:
+            return (total,) if 0 < total <= largest and fits((*held, total)) else None
+        x = np.arange(min(largest, total - parts + 1), -(-total // parts) - 1, -1)
+        x = x[left[x] > 0]
+        if parts == 2:
+            x = x[left[total - x] > 0]
+        for n in x.tolist():
+            if fits((*held, n)) and (more := sum_of(total - n, parts - 1, n, (*held, n))):
+                return (n, *more)
         return None
 
-    rest: list[tuple[int, int]] = []
-    for n in range(capacity, 0, -1):
-        while left[n]:
-            gap = capacity - n
-            if gap == 0:
-                take((n,))
-            elif gap <= n and fits((n, gap)):
-                take((n, gap))
-            elif two := pair(gap, n, (n,)):
-                take((n, *two))
-            else:
-                three = None
-                for x in (np.flatnonzero(left[1 : min(n, gap - 2) + 1])[::-1] + 1).tolist():
-                    if two := pair(gap - x, x, (n, x)):
-                        three = (n, x, *two)
-                        break
-                if three is None:
-                    rest.append((n, int(left[n])))
-                    left[n] = 0
-                else:
-                    take(three)
-    # best fit, longest first, over classes of equal open sequences
+    if left[capacity]:
+        out.append(((capacity,), int(left[capacity])))
+        left[capacity] = 0
+    for parts in range(1, most + 1):
+        for n in range(capacity - 1, 0, -1):
+            while left[n] and (more := sum_of(capacity - n, parts, n, (n,))):
+                lengths = (n, *more)
+                used = {k: lengths.count(k) for k in lengths}
+                times = min(int(left[k]) // c for k, c in used.items())
+                out.append((lengths, times))
+                for k, c in used.items():
+                    left[k] -= times * c
+    return out
+
+
+def _best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Longest first, each into the open sequence with the least room for it; equal open sequences are one class."""
     open_: dict[tuple[int, ...], int] = {}
     by_gap: dict[int, list[tuple[int, ...]]] = {}
 
@@ -223,29 +213,41 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
             by_gap.setdefault(capacity - sum(lengths), []).append(lengths)
         open_[lengths] += times
 
-    for n, c in rest:
+    for n in range(capacity, 0, -1):
+        c = int(left[n])
         while c:
             gap = next((g for g in range(n, capacity) if by_gap.get(g)), None)
             if gap is None:
                 each = capacity // n
                 if c >= each:
                     put((n,) * each, c // each)
-                    c %= each
-                if c:
-                    put((n,) * c, 1)
-                c = 0
+                if c % each:
+                    put((n,) * (c % each), 1)
+                break
+            lengths = by_gap[gap][-1]
+            times = min(c, open_[lengths])
+            c -= times
+            if times == open_[lengths]:
+                del open_[lengths]
+                by_gap[gap].pop()
             else:
-                lengths = by_gap[gap][-1]
-                have = open_[lengths]
-                times = min(c, have)
-                c -= times
-                if times == have:
-                    del open_[lengths]
-                    by_gap[gap].pop()
-                else:
-                    open_[lengths] -= times
-                put((*lengths, n), times)
-    return out + list(open_.items())
+                open_[lengths] -= times
+            put((*lengths, n), times)
+    return list(open_.items())
+
+
+def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths of a sequence, number of such sequences), for so many pieces of each length.
+
+    Exact complements of up to three, two, one or no lengths first; the plan with the fewest sequences is kept.
+    """
+    plans = []
+    for most in (3, 2, 1, 0):
+        left = np.zeros(capacity + 1, np.int64)
+        for n, c in counts.items():
+            left[n] = c
+        plans.append(_exact(left, capacity, most) + _best_fit(left, capacity))
+    return min(plans, key=lambda p: sum(times for _, times in p))
 
 
 def _places(found: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
