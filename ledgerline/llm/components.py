@@ -1,0 +1,23 @@
+"""Connected components of an edge table by least labels and pointer jumping."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ledgerline.llm.common import stored
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(id, comp) for the ends of edges (a, b): comp is the least id reachable. Every round is written to the shared folder."""
+    both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a")))
+    both = stored(both.where("a != b").distinct().toDF("id", "near"))
+    labels = stored(both.groupBy("id").agg(F.least(F.first("id"), F.min("near")).alias("comp")))
+    while True:
+        near = both.join(labels.toDF("near", "near_comp"), "near").groupBy("id").agg(F.min("near_comp").alias("least"))
+        step = labels.join(near, "id").select("id", F.col("comp").alias("old"), F.least("comp", "least").alias("comp"))
+        roots = step.select(F.col("id").alias("root"), F.col("comp").alias("jump"))
+        step = stored(step.join(roots, step["comp"] == roots["root"]).select("id", "old", F.least("comp", "jump").alias("comp")))
+        labels = step.select("id", "comp")
+        if not step.where("old != comp").limit(1).count():
+            return labels
