@@ -46,3 +46,16 @@ def stored(df: DataFrame) -> DataFrame:
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hpath)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows of an Arrow batch of texts, at most. The default of 10,000 has no bound in bytes that matters here.
+BATCH_ROWS = 500
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``; lowers the session's Arrow batch size if it is larger, so that Python workers hold few texts at once."""
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+    return df

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import tokens as T
-from ledgerline.llm.common import stored, table
+from ledgerline.llm.common import in_small_batches, stored, table
 from ledgerline.llm.components import components
 
 SHINGLE = 5
@@ -37,7 +37,7 @@ HASHES, ROWS, B = 128, 3, 4
 BANDS = HASHES // ROWS
 FLOOR = 0.5
 THRESHOLD = (75, 100)
-SLICE = 4 << 20
+SLICE = 2 << 20
 BLOCK = 2048
 #: Pairs of a member with other components confirmed in each round; in the last, all that are left.
 ROUNDS = (8, None)
@@ -193,7 +193,7 @@ def _pairs(rows) -> pa.RecordBatch:
 
 def near_dups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = stored(signatures(docs))
     same = ["n_shingles", "set_a", "set_b"]
     classes = stored(signed.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("class_id")))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm import tokens as T
-from ledgerline.llm.common import stored, table
+from ledgerline.llm.common import in_small_batches, stored, table
 
 CAPACITY, END_ID = 1024, 2
 SLICE = 4 << 20
@@ -164,7 +164,7 @@ def piece_table(docs: DataFrame, *, text_col: str = "text", vocabulary: str | No
             yield pa.RecordBatch.from_arrays([pa.array(doc, batch.schema.field("doc_id").type), pa.array(i, pa.int32()), pa.array(s, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return in_small_batches(docs).select("doc_id", F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def _exact(left: np.ndarray, capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:

@@ -25,13 +25,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import tokens as T
-from ledgerline.llm.common import table
+from ledgerline.llm.common import in_small_batches, table
 from ledgerline.llm.labelled import MAX_LABELLED, held_out, training_sample
 
 BITS, DIMS, ENTRIES, WINDOW = 15, 32, 4, 2
 BLOCKS, SALTS = 16, 8
 HIDDEN, STEPS, SEED = 24, 600, 11
-SLICE = 2 << 20
+SLICE = 1 << 20
 U = np.uint64
 _KIND = np.full(256, 2, np.uint8)  # 0 white space, 1 letters and digits, 2 others
 _KIND[[9, 10, 11, 12, 13, 32]] = 0
@@ -92,7 +92,7 @@ def _add(batches):
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """float32 [buckets, DIMS], from all documents. Sums meet in two rounds, so no task gets a row from every task."""
     kind = "block int, salt int, sums binary"
-    sums = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_contexts, kind)
+    sums = in_small_batches(docs).select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_contexts, kind)
     sums = sums.repartition(BLOCKS * SALTS, "block", "salt").mapInArrow(_add, kind)
     sums = sums.repartition(BLOCKS, "block").mapInArrow(_add, kind).collect()  # BLOCKS rows
     total, seen = np.zeros((1 << BITS, DIMS), np.float64), np.zeros(1 << BITS)
@@ -164,7 +164,7 @@ def fit_net(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> Net | None:
 
 def score_quality(docs: DataFrame, vectors: np.ndarray, net: Net | None, *, text_col: str = "text", carry=("doc_id",)) -> DataFrame:
     """docs[carry] with score."""
-    docs = docs.select(*carry, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    docs = in_small_batches(docs).select(*carry, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     if net is None:
         return docs.select(*carry, F.lit(0.5).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast((vectors, net))

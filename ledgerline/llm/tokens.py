@@ -105,13 +105,28 @@ def window_hashes(word: np.ndarray, size: int) -> np.ndarray:
 
 
 def slices(batches: Iterator[pa.RecordBatch], max_bytes: int, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``max_bytes`` of text; a longer text is a batch of its own."""
+    """The same rows in batches of about ``max_bytes`` of text, small ones joined; a longer text is a batch of its own."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def joined() -> pa.RecordBatch:
+        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
     for batch in batches:
         if not batch.num_rows:
             continue
         at = text_bytes(batch.column(column))[1]
         first = 0
         while first < batch.num_rows:
-            last = max(first + 1, int(np.searchsorted(at, at[first] + max_bytes, "right")) - 1)
-            yield batch.slice(first, last - first)
-            first = last
+            last = int(np.searchsorted(at, at[first] + max_bytes - size, "right")) - 1
+            if last <= first and not held:
+                last = first + 1
+            if last > first:
+                held.append(batch.slice(first, last - first))
+                size += int(at[last] - at[first])
+                first = last
+            if first < batch.num_rows:
+                yield joined()
+                held, size = [], 0
+    if held:
+        yield joined()

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import tokens as T
-from ledgerline.llm.common import table
+from ledgerline.llm.common import in_small_batches, table
 from ledgerline.llm.labelled import MAX_LABELLED, held_out, training_sample
 
 U = np.uint64
@@ -38,7 +38,7 @@ BITS = (19, 19, 18, 18, 18)  # of the two tables of words and of the prefixes
 STRENGTH = 10.0
 DEVIATIONS, DRIFT, LEAST, MOST = 1.5, 0.3, -1.0, 6.0
 LOG_SIGNIFICANT = math.log(0.01)  # of E-values
-SLICE = 4 << 20
+SLICE = 2 << 20
 _AT = np.cumsum([0, *(1 << b for b in BITS)])
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
@@ -154,7 +154,7 @@ def fit(sample: DataFrame, strength: float = STRENGTH) -> Model | None:
             at = np.flatnonzero(kept[label])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), label)), pa.array(at), pa.array(kept[label][at])], names=["y", "at", "n"])
 
-    found = sample.where("fold > 0").mapInArrow(count, "y long, at long, n long").groupBy("y", "at").agg(F.sum("n").alias("n")).toArrow()
+    found = in_small_batches(sample).where("fold > 0").mapInArrow(count, "y long, at long, n long").groupBy("y", "at").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((2, _AT[-1]), np.float32)
     counts[found["y"].to_numpy(), found["at"].to_numpy()] = found["n"].to_numpy()
     clean, toxic = (float(counts[k][: 1 << BITS[0]].sum()) for k in (0, 1))
@@ -215,7 +215,7 @@ def fit(sample: DataFrame, strength: float = STRENGTH) -> Model | None:
 def score_toxicity(docs: DataFrame, model: Model | None, *, text_col: str = "text", carry=("doc_id",)) -> DataFrame:
     """docs[carry] with score, n_passages and passages: array<struct<start, end, score, e_value>> in bytes of UTF-8."""
     spark = docs.sparkSession
-    docs = docs.select(*carry, F.col(text_col).alias("_text"))
+    docs = in_small_batches(docs).select(*carry, F.col(text_col).alias("_text"))
     kind = "score double, n_passages int, passages array<struct<start:int,end:int,score:double,e_value:double>>"
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry]
     if model is None:
