@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ledgerline.llm import mixing, near_dups, packing, quality, secrets, substrings, toxicity
+from ledgerline.llm import mixing, near_dups, packing, quality, secrets, substrings, syncmers, toxicity
 
-_MODULES = (quality, near_dups, mixing, toxicity, secrets, packing, substrings)
+_MODULES = (quality, near_dups, mixing, toxicity, syncmers, secrets, packing, substrings)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
