@@ -215,7 +215,8 @@ def fit(sample: DataFrame, strength: float = STRENGTH) -> Model | None:
 def score_toxicity(docs: DataFrame, model: Model | None, *, text_col: str = "text", carry=("doc_id",)) -> DataFrame:
     """docs[carry] with score, n_passages and passages: array<struct<start, end, score, e_value>> in bytes of UTF-8."""
     spark = docs.sparkSession
-    docs = in_small_batches(docs).select(*carry, F.col(text_col).alias("_text"))
+    text = text_col if text_col in carry else "_text"
+    docs = in_small_batches(docs).select(*carry, *([] if text_col in carry else [F.col(text_col).alias("_text")]))
     kind = "score double, n_passages int, passages array<struct<start:int,end:int,score:double,e_value:double>>"
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry]
     if model is None:
@@ -225,8 +226,8 @@ def score_toxicity(docs: DataFrame, model: Model | None, *, text_col: str = "tex
 
     def run(batches):
         model = shared.value
-        for batch in T.slices(batches, SLICE, "_text"):
-            column = batch.column("_text")
+        for batch in T.slices(batches, SLICE, text):
+            column = batch.column(text)
             places, first, span = features(column)
             base = T.text_bytes(column)[1]
             score = model.scores(places)
