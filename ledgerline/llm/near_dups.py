@@ -5,14 +5,14 @@ distinct 5-word shingles (with fewer words, the whole sequence). Per document: `
 of which bands of ``ROWS`` give bucket keys and ``B`` bits each are packed into a signature.
 
 1. Equal sets (by a 128-bit hash) become one class; only its least id goes on.
-2. A bucket's members are paired with its least id: no group is expanded into all pairs. The
-   signatures' equal ``B``-bit fields, counted with bit operations and corrected for chance,
-   estimate the similarity; a pair below ``FLOOR`` (six standard deviations under the threshold)
-   is dropped. Each member's best pair is confirmed on the full sets.
-3. Components of the confirmed links. A pair inside one component needs no more; for buckets
-   that hold several components the pairs between them are estimated block by block, confirmed
-   and joined: first each member's best, then all that are left. So members linked to each other but not to
-   the bucket's least id are found too.
+2. In each bucket the signatures' equal ``B``-bit fields, counted with bit operations and corrected
+   for chance, estimate similarities. Pairs from ``FLOOR`` on (six standard deviations below the
+   threshold) make a graph, of which a spanning forest leaves the task: no group is expanded into
+   rows of pairs. The components of all forests are supergroups: every link lies inside one.
+3. Inside a supergroup all pairs from ``FLOOR`` on, but those already joined, are confirmed on the
+   full sets; again a spanning forest of the links leaves the task. Its components are the result.
+
+Large buckets and supergroups are cut into blocks of bounded size; each pair of blocks is a task.
 
 A pair at the threshold shares no band with a chance of (1 - 0.75 ** 3) ** 42, about 1e-10.
 
@@ -38,9 +38,8 @@ BANDS = HASHES // ROWS
 FLOOR = 0.5
 THRESHOLD = (75, 100)
 SLICE = 2 << 20
-BLOCK = 2048
-#: Pairs of a member with other components confirmed in each round; in the last, all that are left.
-ROUNDS = (8, None)
+#: Members of a block of a bucket; members and shingles of a block of a supergroup.
+BLOCK, BLOCK_SHINGLES = 2048, 500_000
 U = np.uint64
 _MULTIPLY = T.mix64(np.arange(1, HASHES + 1, dtype=U) * U(0xD6E8FEB86659FD93)) | U(1)
 _ADD = T.mix64(np.arange(1, HASHES + 1, dtype=U) * U(0xA0761D6478BD642F))
@@ -114,83 +113,97 @@ def signatures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(_signed, "doc_id long, n_shingles long, set_a long, set_b long, sig array<long>, bands array<long>")
 
 
-def estimate(x: Column, y: Column) -> Column:
-    """Similarity from the share of equal B-bit fields, corrected for chance agreement."""
-    one_each = F.lit(sum(1 << (B * k) for k in range(64 // B)))
+def _equal(sig: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Estimated similarity of a signature to others, from the count of equal fields."""
+    d = sig ^ one
+    d |= d >> U(1)
+    d |= d >> U(2)  # folds the B = 4 bits of a field into its lowest
+    n = np.bitwise_count(d & U(sum(1 << (B * k) for k in range(64 // B)))).sum(1)
+    return ((1 - n / HASHES) - 2.0**-B) / (1 - 2.0**-B)
 
-    def unequal(p, q):
-        d = p.bitwiseXOR(q)
-        for s in (1, 2):  # folds the B = 4 bits of a field into its lowest
-            d = d.bitwiseOR(F.shiftrightunsigned(d, s))
-        return F.bit_count(d.bitwiseAND(one_each))
 
-    n = F.aggregate(F.zip_with(x, y, unequal), F.lit(0), lambda acc, v: acc + v)
-    return ((1 - n / HASHES) - 2.0**-B) / (1 - 2.0**-B)
+class _Forest:
+    """Joins members by position; remembers the joins."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+        self.edges: list[tuple[int, int]] = []
+
+    def join(self, a: int, others: np.ndarray) -> None:
+        for b in others.tolist():
+            x, y = self.label[a], self.label[b]
+            if x != y:
+                self.edges.append((a, b))
+                self.label[self.label == max(x, y)] = min(x, y)
 
 
-def _confirm(batches):
-    """Rows (a, b, text_a, text_b): those whose full sets reach the threshold."""
+def _sides(side: np.ndarray):
+    """Positions of either block (side 2: a block against itself)."""
+    return np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+
+
+def _likely(batches):
+    """Rows (key, x, y, side, doc_id, sig), sorted: a spanning forest of the likely pairs of each group."""
+    out: list[tuple[int, int]] = []
+    for _, held in T.groups(batches, 3):
+        side, ids = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in ("side", "doc_id"))
+        sig = np.concatenate([b.column("sig").flatten().to_numpy() for b in held]).reshape(len(ids), -1).view(U)
+        x, y = _sides(side)
+        forest = _Forest(len(ids))
+        for a in x.tolist():
+            other = y[forest.label[y] != forest.label[a]]
+            if len(other):
+                forest.join(a, other[_equal(sig[other], sig[a]) >= FLOOR])
+        out += [(ids[a], ids[b]) for a, b in forest.edges]
+        if len(out) > 10_000:
+            yield _pairs(out)
+            out = []
+    if out:
+        yield _pairs(out)
+
+
+def _confirmed(batches):
+    """Rows (group, x, y, side, doc_id, sig, text), sorted: a spanning forest of the links of each group, on full sets."""
     low, high = THRESHOLD
-    for batch in batches:
-        for part in T.slices(T.slices([batch], SLICE, "text_a"), SLICE, "text_b"):
-            (ha, fa), (hb, fb) = shingles(part.column("text_a")), shingles(part.column("text_b"))
-            keep = []
-            for i in range(part.num_rows):
-                x, y = ha[fa[i] : fa[i + 1]], hb[fb[i] : fb[i + 1]]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(high * both >= low * (len(x) + len(y) - both) and both > 0)
-            mask = pa.array(keep)
-            yield pa.RecordBatch.from_arrays([part.column("a").filter(mask), part.column("b").filter(mask)], names=["a", "b"])
-
-
-def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are links."""
-    got = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
-    return got.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long")
-
-
-def _between(most: int | None):
-    """Rows (key, block_x, block_y, side, doc_id, comp, sig), sorted: pairs between components with a fair estimate."""
-
-    def pairs(group):
-        side, ids, comp, sig = (np.concatenate(x) for x in zip(*group))
-        fields = np.stack([(sig >> U(B * j)).astype(np.uint8) & (2**B - 1) for j in range(64 // B)], 2).reshape(len(ids), -1)
-        x, y = np.flatnonzero(side != 1), np.flatnonzero(side != 0)  # side 2: one block against itself
-        out = set()
+    for _, held in T.groups(batches, 3):
+        side, ids = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in ("side", "doc_id"))
+        sig = np.concatenate([b.column("sig").flatten().to_numpy() for b in held]).reshape(len(ids), -1).view(U)
+        sets = [shingles(b.column("text")) for b in held]
+        size = np.concatenate([np.diff(f) for _, f in sets])
+        _, number = np.unique(np.concatenate([h for h, _ in sets]), return_inverse=True)
+        end = np.cumsum(size)
+        x, y = _sides(side)
+        forest, mark = _Forest(len(ids)), np.zeros(len(number), bool)
         for a in x.tolist():
-            other = y[comp[y] != comp[a]]
-            est = ((fields[other] == fields[a]).mean(1) - 2.0**-B) / (1 - 2.0**-B) if len(other) else np.zeros(0)
-            good = other[est >= FLOOR]
-            if most is not None and len(good) > most:
-                good = other[np.lexsort((ids[other], -est))[:most]]
-            out.update((min(ids[a], b), max(ids[a], b)) for b in ids[good].tolist())
-        return out
-
-    def run(batches):
-        key, group = None, []
-        for batch in batches:
-            if not batch.num_rows:
+            other = y[forest.label[y] != forest.label[a]]
+            if len(other):
+                other = other[_equal(sig[other], sig[a]) >= FLOOR]
+            if not len(other):
                 continue
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
-            sig = batch.column(6).flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(batch.num_rows, -1).view(U)
-            change = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1])) + 1
-            for a, z in zip([0, *change], [*change, batch.num_rows]):
-                here = (cols[0][a], cols[1][a], cols[2][a])
-                if here != key:
-                    if group:
-                        yield _pairs(pairs(group))
-                    key, group = here, []
-                group.append((cols[3][a:z], cols[4][a:z], cols[5][a:z], sig[a:z]))
-        if group:
-            yield _pairs(pairs(group))
-
-    return run
+            own = number[end[a] - size[a] : end[a]]
+            mark[own] = True
+            n = size[other]
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(end[other] - n, n)
+            both = np.add.reduceat(mark[number[at]].astype(np.int64), np.cumsum(n) - n)
+            mark[own] = False
+            forest.join(a, other[high * both >= low * (size[a] + n - both)])
+        if forest.edges:
+            yield _pairs([(ids[a], ids[b]) for a, b in forest.edges])
 
 
 def _pairs(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([int(r[k]) for r in rows], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
+def _block_pairs(rows: DataFrame, group: str, blocks: Column, *columns: str) -> DataFrame:
+    """Rows of each group dealt into ``blocks`` blocks; every pair of blocks of a group stands together, sorted."""
+    rows = rows.withColumn("blocks", blocks.cast("int")).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
+    rows = rows.select(group, F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), side.alias("side"), "doc_id", *columns)
+    return rows.repartition(group, "x", "y").sortWithinPartitions(group, "x", "y")
+
+
 def near_dups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept."""
     docs = in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -199,31 +212,15 @@ def near_dups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     classes = stored(signed.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("class_id")))
     reps = signed.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     rows = reps.select("doc_id", F.explode("bands").alias("key"))
-    keys = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("lead")).where("n > 1")
-    shared = stored(rows.join(keys, "key").select("key", "doc_id", "lead", "n"))
-    sigs = stored(reps.select("doc_id", "sig").join(shared.select("doc_id").distinct(), "doc_id", "left_semi"))
-    first = shared.where("doc_id > lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
-    first = first.join(sigs.toDF("a", "sig_a"), "a").join(sigs.toDF("b", "sig_b"), "b").withColumn("est", estimate(F.col("sig_a"), F.col("sig_b"))).where(F.col("est") >= FLOOR)
-    first = stored(first.groupBy("b").agg(F.max_by("a", F.struct("est", -F.col("a"))).alias("a")).select("a", "b"))
-    texts = stored(docs.join(sigs.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    tried, links = first, stored(confirm(first, texts))
+    keys = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = rows.join(keys, "key").join(reps.select("doc_id", "sig"), "doc_id")
+    likely = _block_pairs(shared, "key", F.ceil(F.col("n") / BLOCK), "sig").mapInArrow(_likely, "a long, b long")
+    groups = components(likely.distinct()).toDF("doc_id", "group")
+    members = stored(groups.join(reps.select("doc_id", "sig", "n_shingles"), "doc_id"))
+    sizes = members.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("n"))
+    texts = docs.join(members.join(sizes, "group").select("doc_id", "group", "sig", "n"), "doc_id").dropDuplicates(["doc_id"])
+    links = _block_pairs(texts, "group", F.col("n"), "sig", "text").mapInArrow(_confirmed, "a long, b long")
     labels = components(links)
-    for most in ROUNDS:
-        marked = shared.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
-        mixed = marked.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("key")
-        some = marked.join(mixed, "key", "left_semi").join(sigs, "doc_id")
-        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-        some = some.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-        some = some.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
-        some = some.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), side.alias("side"), "doc_id", "comp", "sig")
-        found = some.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(_between(most), "a long, b long").distinct()
-        new = stored(found.join(tried, ["a", "b"], "left_anti"))
-        tried = tried.union(new)
-        more = stored(confirm(new, texts))
-        if more.limit(1).count():
-            links = links.union(more)
-            labels = components(links)
     out = signed.select("doc_id", *same).join(classes, same, "left").join(labels.toDF("class_id", "comp"), "class_id", "left")
     comp = F.coalesce("comp", "class_id", "doc_id")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), comp).alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.col("doc_id") == comp).otherwise(F.lit(True)).alias("kept"))

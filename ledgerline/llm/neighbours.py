@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerline.llm import tokens as T
 from ledgerline.llm.common import stored, table
 
 EDGES, REVERSE = 24, 12
@@ -74,28 +75,6 @@ def _cells(bits: int):
     return run
 
 
-def _groups(batches, keys: int):
-    """Runs of equal leading ``keys`` columns in sorted batches, as lists of batches."""
-    last, held = None, []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
-        change = np.zeros(batch.num_rows - 1, bool)
-        for c in cols:
-            change |= c[1:] != c[:-1]
-        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
-        for a, z in zip(cuts, cuts[1:]):
-            key = tuple(c[a] for c in cols)
-            if key != last and held:
-                yield last, held
-                held = []
-            last = key
-            held.append(batch.slice(a, z - a))
-    if held:
-        yield last, held
-
-
 def _column(held, name):
     return sum((b.column(name).to_pylist() for b in held), [])
 
@@ -108,7 +87,7 @@ def _edges(rows) -> pa.RecordBatch:
 def _first(batches):
     """Rows (t, cell, salt, node, code): the best of each cell for each node."""
     out, n = [], 0
-    for _, held in _groups(batches, 3):
+    for _, held in T.groups(batches, 3):
         node, x = np.array(_column(held, "node"), np.int64), _unit(_column(held, "code"))
         for a in range(0, len(node), 512):
             s = x[a : a + 512] @ x.T
@@ -129,7 +108,7 @@ def _first(batches):
 def _compare(batches):
     """Rows (u, v, fresh, code, worst): of u's neighbours, pairs better than what either has."""
     out, n = [], 0
-    for _, held in _groups(batches, 1):
+    for _, held in T.groups(batches, 1):
         fresh = np.array(_column(held, "fresh"), bool)
         if not fresh.any() or len(fresh) < 2:
             continue
@@ -200,7 +179,7 @@ def graph(codes: DataFrame) -> DataFrame:
 def _look(batches):
     """Rows (q, kind, v, sim, seen, code), sorted by q: the query's code (0), its pool (1), new nodes (2) -> the pool."""
     out: list[tuple] = []
-    for (q,), held in _groups(batches, 1):
+    for (q,), held in T.groups(batches, 1):
         kind, v = np.array(_column(held, "kind")), np.array(_column(held, "v"), np.int64)
         sim, seen, code = np.array(_column(held, "sim"), np.float64), np.array(_column(held, "seen")), _column(held, "code")
         own = _unit([code[int(np.flatnonzero(kind == 0)[0])]])[0]
