@@ -22,6 +22,8 @@ columns of the input are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,19 +44,23 @@ def _let(value: Column, use) -> Column:
 def _chunk_anchors(chunk: Column, offset: Column) -> Column:
     """array<struct<pos, hash>> of the k-mers of a chunk."""
 
-    def sliding(h: Column) -> Column:
-        def least(low: Column, step: int) -> Column:
-            """low: least of the ``step`` hashes from each place on; doubled until it spans a k-mer."""
-            if step == SPAN:
-                return chosen(h, low)
-            return _let(F.zip_with(low, F.slice(low, F.lit(step + 1), F.size(low)), lambda x, y: F.least(x, y)), lambda m: least(m, step * 2))
+    def least_of(low: Column, step: int) -> Column:
+        """From the least of ``step`` hashes from each place on to the least of twice as many."""
+        return F.zip_with(low, F.slice(low, F.lit(step + 1), F.size(low)), lambda x, y: F.least(x, y))
 
-        return least(h, 1)
+    def is_least(h: Column, four: Column, i: Column, at: int) -> Column:
+        """Whether the hash at i + at is the least of the k-mer at i; the part that holds it is asked first."""
+        parts = sorted(range(0, SPAN, 4), key=lambda k: not k <= at < k + 4)
+        value = h[i + at] if at else h[i]
+        return reduce(lambda a, b: a & b, [value <= (four[i + k] if k else four[i]) for k in parts])
 
-    def chosen(h: Column, low: Column) -> Column:
-        at = F.filter(F.sequence(F.lit(0), F.size(h) - SPAN), lambda i: (low[i] == h[i]) | (low[i] == h[i + (SPAN - 1)]))
+    def chosen(h: Column, four: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(0), F.size(h) - SPAN), lambda i: is_least(h, four, i, 0) | is_least(h, four, i, SPAN - 1))
         return F.transform(at, lambda i: F.struct((i + offset).cast("int").alias("pos"), F.xxhash64(h[i], h[i + S], h[i + (SPAN - 1)]).alias("hash")))
 
+    def sliding(h: Column) -> Column:
+        return _let(least_of(h, 1), lambda two: _let(least_of(two, 2), lambda four: chosen(h, four)))
+
     none = F.expr("cast(array() as array<struct<pos:int,hash:bigint>>)")
     substrings = F.regexp_extract_all(chunk, F.lit(f"(?s)(?=(.{{{S}}}))."), F.lit(1))
     return _let(F.transform(substrings, lambda x: F.xxhash64(x)), lambda h: F.when(F.size(h) >= SPAN, sliding(h)).otherwise(none))
