@@ -78,11 +78,11 @@ def profile_occupancy(spark, d):
     return g
 
 
-_GRID = "WITH RECURSIVE g AS (SELECT DISTINCT CAST((l_orderkey*7+l_linenumber)%20 AS BIGINT) AS y, CAST((l_partkey*3)%40 AS BIGINT) AS x FROM lineitem WHERE l_orderkey%67=0)"
+_GRID = "WITH RECURSIVE g AS (SELECT DISTINCT CAST((l_orderkey*7+l_linenumber)%20 AS BIGINT) AS y, CAST((l_partkey*3)%40 AS BIGINT) AS x FROM lineitem WHERE l_orderkey%401=0)"
 
 
 def _grid(spark, d):
-    li = table(spark, d, "lineitem").where("l_orderkey % 67 = 0")
+    li = table(spark, d, "lineitem").where("l_orderkey % 401 = 0")
     return li.select(((F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 20).cast("long").alias("y"), ((F.col("l_partkey") * 3) % 40).cast("long").alias("x")).distinct()
 
 
