@@ -64,13 +64,13 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: each document as often as it is taken; the last copy may be a part, which keeps the
     first words joined by one space. Rows that share id and size share what they take evenly. Documents
     without words are kept once."""
-    taken = mix(docs, **options).groupBy("doc_id", "size").agg(F.expr("sum(taken) div count(*)").alias("taken"))
-    taken = taken.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "taken")
+    taken = mix(docs, **options).groupBy("doc_id", "size").agg(F.expr("sum(taken) div count(*)").alias("_taken"))
+    taken = taken.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "_taken")
     cols = docs.columns
     sized = docs.withColumn("_words", n_words(F.col("text")))
     got = sized.join(taken, sized["doc_id"].eqNullSafe(taken["_id"]) & (F.col("_words") == F.col("_size")))
-    whole = F.when(F.col("_words") > 0, F.expr("taken div _words")).otherwise(F.lit(1)).cast("int")
-    part = F.when(F.col("_words") > 0, F.col("taken") % F.col("_words")).otherwise(F.lit(0)).cast("int")
+    whole = F.when(F.col("_words") > 0, F.expr("_taken div _words")).otherwise(F.lit(1)).cast("int")
+    part = F.when(F.col("_words") > 0, F.col("_taken") % F.col("_words")).otherwise(F.lit(0)).cast("int")
     copies = F.concat(F.array_repeat(F.lit(0), whole), F.filter(F.array(part), lambda x: x > 0))
     got = got.withColumn("_part", F.explode(copies))
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_part")), " ")
