@@ -84,7 +84,7 @@ class Encoder:
         start[1:] &= (kind[1:] == 0) | (code[:-1] != 32)  # a space joins what follows it
         space_end = np.zeros(n, bool)
         space_end[:-1] = (kind[:-1] == 0) & (kind[1:] != 0) & ~first[1:n]
-        start = (start | space_end | first[:n]) & True
+        start = start | space_end | first[:n]
         # 's 't 'm 'd 're 've 'll after a token's end
         quote = np.flatnonzero((code[:-1] == 39) & start[:-1] & (kind[1:] == 1) & ~first[1:n])
         if len(quote):

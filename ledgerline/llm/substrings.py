@@ -87,6 +87,8 @@ def _pack(h: np.ndarray, at: np.ndarray, ids: np.ndarray, first: np.ndarray) ->
     diff = np.diff(h, prepend=h[0])
     wide, narrow = max(1, -(-int(diff.max()).bit_length() // 8)), max(1, -(-int(at.max()).bit_length() // 8))
     lead = int(h[0])
+    own = np.unique(np.searchsorted(first, at, "right") - 1)  # documents of these suffixes
+    ids, first = ids[own], first[own]
     docs = zlib.compress(np.concatenate([np.diff(ids, prepend=0), np.diff(first, prepend=0)]).astype("<i8").tobytes(), 1)
     head = np.array([len(h), wide, narrow, len(ids), len(docs)], "<i8").tobytes() + np.array([lead], "<u8").tobytes()
     return head + docs + diff.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide].tobytes() + at.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :narrow].tobytes()
