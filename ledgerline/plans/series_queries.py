@@ -48,7 +48,7 @@ def _days(spark, d):
 
 @query(_DAYS + """
 , w AS (SELECT *, lag(n) OVER o AS p, lead(n) OVER o AS q, max(n) OVER (PARTITION BY event_type ORDER BY day ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS m FROM dd WINDOW o AS (PARTITION BY event_type ORDER BY day))
-SELECT event_type, day, n, round(least(0.6, greatest(-0.6, CASE WHEN abs(p-2*n+q)>1e-9 THEN 0.5*(p-q)/(p-2*n+q) ELSE 0 END)),6) AS peak_offset FROM w WHERE n>=p AND n>=q AND n=m
+SELECT event_type, day, n, round(least(0.6, greatest(-0.6, CASE WHEN abs(p-2*n+q)>1e-9 THEN 0.5*(p-q)/(p-2*n+q) ELSE 0 END)),6)+0 AS peak_offset FROM w WHERE n>=p AND n>=q AND n=m
 """)
 def peak_bins(spark, d):
     p = S.peaks(_days(spark, d), ["event_type"], ["day"], "n", 0, reach=3)
@@ -123,7 +123,7 @@ def decimate_consecutive(spark, d):
 
 @query(_DAYS + """
 , s AS (SELECT *, (day - min(day) OVER (PARTITION BY event_type))//7 AS stretch FROM dd)
-SELECT event_type, CAST(stretch AS BIGINT) AS stretch, CAST(count(*) AS BIGINT) AS n, round(regr_slope(n,day),6) AS slope FROM s GROUP BY 1,2 HAVING count(*)>3
+SELECT event_type, CAST(stretch AS BIGINT) AS stretch, CAST(count(*) AS BIGINT) AS n, round(regr_slope(n,day),6)+0 AS slope FROM s GROUP BY 1,2 HAVING count(*)>3
 """)
 def turn_regression(spark, d):
     g = S.window_slopes(_days(spark, d), ["event_type"], "day", "n", 7, 3)
@@ -238,7 +238,7 @@ def predict_positions(spark, d):
 @query(_DAYS + """
 , w AS (SELECT *, lag(n) OVER o AS p, lead(n) OVER o AS q FROM dd WINDOW o AS (PARTITION BY event_type ORDER BY day)),
 r AS (SELECT event_type, day + least(0.6, greatest(-0.6, CASE WHEN abs(p-2*n+q)>1e-9 THEN 0.5*(p-q)/(p-2*n+q) ELSE 0 END)) AS place, day FROM w WHERE n>=p AND n>=q)
-SELECT event_type, round(place-15,6) AS deviation FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY abs(place-15), day) AS k FROM r WHERE abs(place-15)<=6) WHERE k=1
+SELECT event_type, round(place-15,6)+0 AS deviation FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY abs(place-15), day) AS k FROM r WHERE abs(place-15)<=6) WHERE k=1
 """)
 def ridge_track(spark, d):
     from pyspark.sql import Window
