@@ -56,12 +56,12 @@ def _chunk_anchors(chunk: Column, offset: Column) -> Column:
 
     def chosen(h: Column, four: Column) -> Column:
         at = F.filter(F.sequence(F.lit(0), F.size(h) - SPAN), lambda i: is_least(h, four, i, 0) | is_least(h, four, i, SPAN - 1))
-        return F.transform(at, lambda i: F.struct((i + offset).cast("int").alias("pos"), F.xxhash64(h[i], h[i + S], h[i + (SPAN - 1)]).alias("hash")))
+        return F.transform(at, lambda i: F.struct((i + offset).cast("int").alias("pos"), F.hash(h[i], h[i + S], h[i + (SPAN - 1)]).alias("hash")))
 
     def sliding(h: Column) -> Column:
         return _let(least_of(h, 1), lambda two: _let(least_of(two, 2), lambda four: chosen(h, four)))
 
-    none = F.expr("cast(array() as array<struct<pos:int,hash:bigint>>)")
+    none = F.expr("cast(array() as array<struct<pos:int,hash:int>>)")
     substrings = F.regexp_extract_all(chunk, F.lit(f"(?s)(?=(.{{{S}}}))."), F.lit(1))
     return _let(F.transform(substrings, lambda x: F.xxhash64(x)), lambda h: F.when(F.size(h) >= SPAN, sliding(h)).otherwise(none))
 
@@ -76,12 +76,12 @@ def anchors(text: Column) -> Column:
 
 def hashes(found: Column, text: Column) -> Column:
     """The anchors' hashes in order, or the hash of the whole text."""
-    return F.when(F.size(found) > 0, F.transform(found, lambda a: a.hash)).otherwise(F.array(F.xxhash64(text)))
+    return F.when(F.size(found) > 0, found.getField("hash")).otherwise(F.array(F.hash(text)))
 
 
 def fingerprint(marks: Column) -> Column:
-    """Eight hexadecimal digits an anchor."""
-    return F.array_join(F.transform(marks, lambda h: F.substring(F.hex(h.bitwiseAND(F.lit(0xFFFFFFFF)) + F.lit(1 << 32)), 2, 8)), "")
+    """The hashes as text, in order."""
+    return F.array_join(marks.cast("array<string>"), " ")
 
 
 def likeness(x: Column, y: Column) -> Column:
