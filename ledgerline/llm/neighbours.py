@@ -3,9 +3,9 @@
 Equal vectors are one node. Nodes start with the best of a few hundred others that share random
 hyperplane signs; then each round joins every node to its neighbours and some reverse neighbours
 and compares those with one another (pairs with at least one new member), until few edges
-change. Vectors travel as 16-bit codes; a table of edges is all that is kept of a round.
+change. Edges of a node and the beam of a query grow with the number of nodes (``sizes``). Vectors travel as 16-bit codes; a table of edges is all that is kept of a round.
 
-A query starts at its own node and keeps the ``BEAM`` best nodes seen; each round looks at all
+A query starts at its own node and keeps the best nodes seen, as many as the beam holds; each round looks at all
 neighbours and reverse neighbours of those not yet looked at, until none is left. The best are
 ranked again by the cosine of the original vectors in double precision; nodes are expanded to
 the smallest ids of their equal vectors, so ties go to the smaller id.
@@ -21,6 +21,8 @@ returned; an empty table gives no rows; other columns of the input are ignored.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -29,15 +31,21 @@ from pyspark.sql import functions as F
 from ledgerline.llm import tokens as T
 from ledgerline.llm.common import stored, table
 
-EDGES, REVERSE = 24, 12
+SMALL = 10_000  # up to so many nodes EDGES and BEAM hold; they grow from there
+EDGES, BEAM = 24, 96
 CELL, TABLES = 256, 2  # nodes of a cell of the first step, and how often nodes are dealt
 TELL = 10  # edges that one node's round offers to each neighbour
-ROUNDS, FEW = 6, 0.02  # rounds at most; share of new edges that ends them
-BEAM, LOOKS = 96, 8
+FEW = 0.02  # share of new edges that ends the rounds
 SEED = 5
 AGAIN = 32  # best nodes that are ranked again
 
 
+def sizes(n: int) -> tuple[int, int]:
+    """Edges of a node and beam of a query for n nodes: they grow as the fourth and the square root."""
+    more = max(1.0, n / SMALL)
+    return int(np.ceil(EDGES * more**0.25)), int(np.ceil(BEAM * more**0.5))
+
+
 def usable(vec: Column) -> Column:
     finite = F.forall(vec, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
     return vec.isNotNull() & finite & F.exists(vec, lambda x: x != 0)
@@ -84,15 +92,19 @@ def _edges(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], names=["u", "v", "sim"])
 
 
-def _first(batches):
+def _first(edges: int):
     """Rows (t, cell, salt, node, code): the best of each cell for each node."""
+    return lambda batches: _first_of(batches, edges)
+
+
+def _first_of(batches, edges: int):
     out, n = [], 0
     for _, held in T.groups(batches, 3):
         node, x = np.array(_column(held, "node"), np.int64), _unit(_column(held, "code"))
         for a in range(0, len(node), 512):
             s = x[a : a + 512] @ x.T
             s[np.arange(len(s)), np.arange(a, a + len(s))] = -9
-            k = min(EDGES, len(node) - 1)
+            k = min(edges, len(node) - 1)
             if k <= 0:
                 continue
             best = np.argpartition(-s, k - 1, axis=1)[:, :k]
@@ -131,11 +143,11 @@ def _compare(batches):
         yield _edges(out)
 
 
-def _best_edges(rows: DataFrame) -> DataFrame:
-    """Rows (u, v, sim, fresh) -> the EDGES best of each u; an edge that was there before is not fresh."""
+def _best_edges(rows: DataFrame, most: int) -> DataFrame:
+    """Rows (u, v, sim, fresh) -> the ``most`` best of each u; an edge that was there before is not fresh."""
     one = rows.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))
     w = Window.partitionBy("u").orderBy(F.desc("sim"), "v")
-    return one.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= EDGES).drop("_n")
+    return one.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
 
 
 def _reverse(edges: DataFrame, most: int, salt: int) -> DataFrame:
@@ -157,26 +169,30 @@ def graph(codes: DataFrame) -> DataFrame:
     """Edges (u, v, sim, fresh) of the neighbour graph over codes (node, code)."""
     spark = codes.sparkSession
     n = codes.count()
+    most = sizes(n)[0]
     bits = max(0, int(np.ceil(np.log2(max(1, n / CELL)))))
     dealt = codes.mapInArrow(_cells(bits), "node long, t int, cell long, code binary")
-    sizes = dealt.groupBy("t", "cell").agg(F.count("*").alias("n"))
-    dealt = dealt.join(sizes, ["t", "cell"]).withColumn("salt", F.pmod(F.xxhash64("t", "node"), F.ceil(F.col("n") / (2 * CELL))).cast("int"))
-    edges = _sorted(dealt.select("t", "cell", "salt", "node", "code"), "t", "cell", "salt").mapInArrow(_first, "u long, v long, sim double")
-    edges = stored(_best_edges(edges.withColumn("fresh", F.lit(1))))
-    for k in range(ROUNDS):
-        worst = edges.groupBy("u").agg(F.when(F.count("*") >= EDGES, F.min("sim")).otherwise(-2.0).alias("worst"))
-        near = edges.select("u", "v", "fresh").unionByName(_reverse(edges, REVERSE, k)).groupBy("u", "v").agg(F.max("fresh").alias("fresh"))
+    counts = dealt.groupBy("t", "cell").agg(F.count("*").alias("n"))
+    dealt = dealt.join(counts, ["t", "cell"]).withColumn("salt", F.pmod(F.xxhash64("t", "node"), F.ceil(F.col("n") / (2 * CELL))).cast("int"))
+    edges = _sorted(dealt.select("t", "cell", "salt", "node", "code"), "t", "cell", "salt").mapInArrow(_first(most), "u long, v long, sim double")
+    edges = stored(_best_edges(edges.withColumn("fresh", F.lit(1)), most))
+    for k in itertools.count():
+        worst = edges.groupBy("u").agg(F.when(F.count("*") >= most, F.min("sim")).otherwise(-2.0).alias("worst"))
+        near = edges.select("u", "v", "fresh").unionByName(_reverse(edges, most // 2, k)).groupBy("u", "v").agg(F.max("fresh").alias("fresh"))
         told = codes.join(worst, F.col("node") == F.col("u"), "left").select(F.col("node").alias("v"), "code", F.coalesce("worst", F.lit(-2.0)).alias("worst"))
         offers = _sorted(near.join(told, "v").select("u", "v", "fresh", "code", "worst"), "u").mapInArrow(_compare, "u long, v long, sim double")
-        edges = stored(_best_edges(edges.withColumn("fresh", F.lit(0)).unionByName(offers.withColumn("fresh", F.lit(1)))))
+        edges = stored(_best_edges(edges.withColumn("fresh", F.lit(0)).unionByName(offers.withColumn("fresh", F.lit(1))), most))
         _release(spark)
         total, fresh = edges.agg(F.count("*"), F.sum("fresh")).first()
         if not total or fresh <= FEW * total:
-            break
-    return edges
+            return edges
+
+
+def _look(beam: int):
+    return lambda batches: _look_of(batches, beam)
 
 
-def _look(batches):
+def _look_of(batches, beam: int):
     """Rows (q, kind, v, sim, seen, code), sorted by q: the query's code (0), its pool (1), new nodes (2) -> the pool."""
     out: list[tuple] = []
     for (q,), held in T.groups(batches, 1):
@@ -188,7 +204,7 @@ def _look(batches):
         at = np.flatnonzero(kind == 2)[at][~np.isin(fresh, v[pool])]
         s = _unit([code[i] for i in at.tolist()]) @ own if len(at) else np.zeros(0)
         node, value, done = np.concatenate([v[pool], v[at]]), np.concatenate([sim[pool], s]), np.concatenate([np.ones(pool.sum(), bool), np.zeros(len(at), bool)])
-        best = np.lexsort((node, -value))[:BEAM]
+        best = np.lexsort((node, -value))[:beam]
         out += [(int(q), int(node[i]), float(value[i]), bool(done[i])) for i in best.tolist()]
         if len(out) > 20_000:
             yield _pool(out)
@@ -204,18 +220,18 @@ def _pool(rows) -> pa.RecordBatch:
 def search(edges: DataFrame, codes: DataFrame, queries: DataFrame) -> DataFrame:
     """Pools (q, v, sim) of nodes ``queries.q`` after greedy search."""
     spark = edges.sparkSession
-    both = edges.select("u", "v", "fresh").unionByName(_reverse(edges, EDGES, ROUNDS)).select("u", "v").distinct()
-    near = stored(both.join(codes.toDF("v", "code"), "v").select("u", "v", "code"))
+    most, beam = sizes(codes.count())
+    near = stored(edges.select("u", "v", "fresh").unionByName(_reverse(edges, most, SEED)).select("u", "v").distinct())
     own = stored(queries.join(codes.toDF("q", "code"), "q").select("q", "code"))
     pool = stored(queries.select("q", F.col("q").alias("v"), F.lit(1.0).alias("sim"), F.lit(False).alias("seen")))
-    for _ in range(LOOKS):
+    while pool.where("not seen").limit(1).count():
         front = pool.where("not seen").select("q", F.col("v").alias("u"))
-        if not front.limit(1).count():
-            break
-        found = front.join(near, "u").select("q", F.lit(2).alias("kind"), "v", F.lit(0.0).alias("sim"), F.lit(False).alias("seen"), "code")
+        # the pool only gets better, so a node that left it never comes back and the front runs empty
+        found = front.join(near, "u").select("q", "v").distinct().join(pool.select("q", "v"), ["q", "v"], "left_anti").join(codes.toDF("v", "code"), "v")
+        found = found.select("q", F.lit(2).alias("kind"), "v", F.lit(0.0).alias("sim"), F.lit(False).alias("seen"), "code")
         rows = own.select("q", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("v"), F.lit(0.0).alias("sim"), F.lit(True).alias("seen"), "code")
         rows = rows.unionByName(pool.select("q", F.lit(1).alias("kind"), "v", "sim", F.lit(True).alias("seen"), F.lit(None).cast("binary").alias("code"))).unionByName(found)
-        pool = stored(_sorted(rows, "q").mapInArrow(_look, "q long, v long, sim double, seen boolean"))
+        pool = stored(_sorted(rows, "q").mapInArrow(_look(beam), "q long, v long, sim double, seen boolean"))
         _release(spark)
     return pool.select("q", "v", "sim")
 

@@ -332,6 +332,16 @@ def test_neighbours_reach_nine_tenths_of_brute_force(spark):
     assert few.count() == 2 and neighbours.nearest(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_search_ends_only_when_its_front_is_empty(spark):
+    """A chain of 30 nodes is walked to its end; the edges and the beam grow with the nodes."""
+    x = np.random.default_rng(3).normal(size=(31, 8))
+    codes = spark.createDataFrame([(i, np.round(v / np.abs(v).max() * 32767).astype("<i2").tobytes()) for i, v in enumerate(x)], "node long, code binary")
+    edges = spark.createDataFrame([(i, i + 1, 0.5, 0) for i in range(30)], "u long, v long, sim double, fresh int")
+    pool = neighbours.search(edges, codes, spark.createDataFrame([(0,)], "q long"))
+    assert {r.v for r in pool.collect()} == set(range(31))
+    assert neighbours.sizes(500) == (24, 96) and neighbours.sizes(160_000) == (48, 384)
+
+
 # ---- the pipeline
 
 
