@@ -1,7 +1,7 @@
 """Operator 10: approximate nearest neighbours by NN-descent and greedy graph search.
 
 Equal vectors are one node. Nodes start with the best of a few hundred others that share random
-hyperplane signs; then each round joins every node to its neighbours and some reverse neighbours
+hyperplane signs, and of a few hundred that a plain hash deals to them, so that none starts alone; then each round joins every node to its neighbours and some reverse neighbours
 and compares those with one another (pairs with at least one new member), until few edges
 change. Edges of a node and the beam of a query grow with the number of nodes (``sizes``). Vectors travel as 16-bit codes; a table of edges is all that is kept of a round.
 
@@ -172,6 +172,9 @@ def graph(codes: DataFrame) -> DataFrame:
     most = sizes(n)[0]
     bits = max(0, int(np.ceil(np.log2(max(1, n / CELL)))))
     dealt = codes.mapInArrow(_cells(bits), "node long, t int, cell long, code binary")
+    # one more deal by a hash of the node: cells of like size, whatever the vectors
+    cells = max(1, int(np.ceil(n / max(CELL, 4 * most))))
+    dealt = dealt.unionByName(codes.select("node", F.lit(TABLES).alias("t"), F.pmod(F.xxhash64(F.lit(SEED), "node"), F.lit(cells)).alias("cell"), "code"))
     counts = dealt.groupBy("t", "cell").agg(F.count("*").alias("n"))
     dealt = dealt.join(counts, ["t", "cell"]).withColumn("salt", F.pmod(F.xxhash64("t", "node"), F.ceil(F.col("n") / (2 * CELL))).cast("int"))
     edges = _sorted(dealt.select("t", "cell", "salt", "node", "code"), "t", "cell", "salt").mapInArrow(_first(most), "u long, v long, sim double")

@@ -342,6 +342,20 @@ def test_search_ends_only_when_its_front_is_empty(spark):
     assert neighbours.sizes(500) == (24, 96) and neighbours.sizes(160_000) == (48, 384)
 
 
+def test_strays_find_and_are_found(spark, monkeypatch):
+    """Vectors alone in their hyperplane cells get five neighbours, too."""
+    monkeypatch.setattr(neighbours, "CELL", 2)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=64) + 0.01 * rng.normal(size=(600, 64))
+    x[::50] = rng.normal(size=(12, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, F.col("vec_id") % 50 == 0).toPandas()
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert (got.groupby("query_id").size() == 5).sum() == 12
+    hits = sum(len(set(np.argsort(-np.where(np.arange(600) == q, -9, y @ y[q]))[:5]) & set(g.vec_id)) for q, g in got.groupby("query_id"))
+    assert hits >= 0.9 * 60
+
+
 # ---- the pipeline
 
 
