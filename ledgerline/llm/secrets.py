@@ -40,12 +40,22 @@ KINDS = ("assign", "access", "hex", "random")
 ALPHABETS = {
     "decimal": ("0123456789", 0.12, 0.017),
     "hex": ("0123456789abcdef", 0.12, 0.017),
+    "upper hex": ("0123456789ABCDEF", 0.12, 0.017),
+    "dashed hex": ("0123456789abcdef", 0.12, 0.017),
+    "dashed upper hex": ("0123456789ABCDEF", 0.12, 0.017),
     "base32": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 0.066, 0.0054),
     "lower": ("abcdefghijklmnopqrstuvwxyz", 0.066, 0.0054),
+    "upper": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 0.066, 0.0054),
+    "base36": ("0123456789abcdefghijklmnopqrstuvwxyz", 0.064, 0.0051),
+    "upper base36": ("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", 0.064, 0.0051),
+    "letters": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 0.062, 0.0048),
     "alnum": ("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 0.062, 0.0048),
     "base64": ("+-/0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz", 0.06, 0.0046),
 }
-INFER = (("decimal", "^[0-9]+$"), ("hex", "^[0-9a-f]+$"), ("base32", "^[A-Z2-7]+$"), ("lower", "^[a-z]+$"), ("alnum", "^[A-Za-z0-9]+$"))
+INFER = (
+    ("decimal", "^[0-9]+$"), ("hex", "^[0-9a-f]+$"), ("upper hex", "^[0-9A-F]+$"), ("dashed hex", "^[0-9a-f]+(-[0-9a-f]+)+$"), ("dashed upper hex", "^[0-9A-F]+(-[0-9A-F]+)+$"), ("lower", "^[a-z]+$"), ("upper", "^[A-Z]+$"), ("base32", "^[A-Z2-7]+$"),
+    ("base36", "^[0-9a-z]+$"), ("upper base36", "^[0-9A-Z]+$"), ("letters", "^[A-Za-z]+$"), ("alnum", "^[A-Za-z0-9]+$"),
+)
 FDR = 0.05
 BINS, BIN = 400, 0.05  # grid of -log10 p
 MASK = "[SECRET]"
@@ -89,6 +99,8 @@ def battery(token: Column) -> Column:
     """struct<encoding, p_random, p_text> of a token (closing "=" left out)."""
     body = F.rtrim(token, F.lit("="))
     name = _encoding(body)
+    # dashes of dashed hex part its groups and are no digits
+    body = F.when(name.startswith("dashed"), F.translate(body, "-", "")).otherwise(body)
 
     def tests(t):
         alphabet = _pick(t.enc, {k: v[0] for k, v in ALPHABETS.items()})

@@ -225,6 +225,21 @@ def test_random_tokens_are_found_and_words_are_not(spark):
     assert sum(shown[i] == "id [SECRET] end" for i in range(40)) >= 36 and shown[100] == made[40][1]
 
 
+KEYS = {"upper hex": "0123456789ABCDEF", "base36": "0123456789abcdefghijklmnopqrstuvwxyz", "upper base36": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "letters": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+
+
+def test_random_tokens_of_each_alphabet_look_random(spark):
+    """At every length about all random tokens pass, dashed groups of hex among them."""
+    rng, rows = np.random.default_rng(4), []
+    for kind, letters in KEYS.items():
+        rows += [(kind, n, "".join(rng.choice(list(letters), n))) for n in (24, 40, 64, 128) for _ in range(50)]
+    for kind, letters in (("dashed hex", "0123456789abcdef"), ("dashed upper hex", "0123456789ABCDEF")):
+        rows += [(kind, 36, "-".join("".join(rng.choice(list(letters), n)) for n in (8, 4, 4, 4, 12))) for _ in range(50)]
+    got = spark.createDataFrame(rows, "kind string, n int, token string").withColumn("b", secrets.battery(F.col("token"))).select("kind", "n", "b.*").toPandas()
+    assert (got.assign(ok=got.p_random >= 0.01).groupby(["kind", "n"]).ok.mean() >= 0.85).all()
+    assert (got.assign(same=got.encoding == got.kind).groupby("kind").same.mean() >= 0.9).all()
+
+
 # ---- 7 and 8
 
 
