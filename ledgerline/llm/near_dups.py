@@ -7,18 +7,21 @@ of which bands of ``ROWS`` give bucket keys and ``B`` bits each are packed into
 1. Equal sets (by a 128-bit hash) become one class; only its least id goes on.
 2. In each bucket the signatures' equal ``B``-bit fields, counted with bit operations and corrected
    for chance, estimate similarities. Pairs from ``FLOOR`` on (six standard deviations below the
-   threshold) make a graph, of which a spanning forest leaves the task: no group is expanded into
-   rows of pairs. The components of all forests are supergroups: every link lies inside one.
+   threshold) make a graph; of each set that it joins, a star of edges to the least id leaves the
+   task: no group is expanded into rows of pairs, the rows do not depend on the order in which
+   members arrive, and the bands of one group give mostly equal edges. The components of all stars
+   are supergroups: every link lies inside one.
 3. Inside a supergroup all pairs from ``FLOOR`` on, but those already joined, are confirmed on the
-   full sets; again a spanning forest of the links leaves the task. Its components are the result.
+   full sets; again stars leave the task. Their components are the result.
 
 Large buckets and supergroups are cut into blocks of bounded size; each pair of blocks is a task.
 
 A pair at the threshold shares no band with a chance of (1 - 0.75 ** 3) ** 42, about 1e-10.
 
 Defined results: null, empty and blank texts have an empty set and are linked with nothing; a
-row with a null id is a class of its own, with a null component, and is kept; repeated ids share
-one component; an empty table gives no rows; other columns of the input are ignored.
+row with a null id is a class of its own, with a null component, and is kept; rows that repeat an
+id share one component, whatever their texts (each text keeps its own set and its own links; an
+empty one has none); an empty table gives no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -105,12 +108,13 @@ def _signed(batches):
         for k in range(BANDS):
             bands[k] = T.mix64(low[3 * k] + T.mix64(low[3 * k + 1] + T.mix64(low[3 * k + 2] + U(k))))
         lists = lambda x: pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(x.T).view(np.int64).ravel()), len(x)).cast(pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), lists(words), lists(bands)], names=["doc_id", "n_shingles", "set_a", "set_b", "sig", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(n.astype(np.int64)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), lists(words), lists(bands)], names=["doc_id", "text_hash", "n_shingles", "set_a", "set_b", "sig", "bands"])
 
 
 def signatures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, set_a and set_b (hashes of the set), sig (packed fields), bands (bucket keys)."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(_signed, "doc_id long, n_shingles long, set_a long, set_b long, sig array<long>, bands array<long>")
+    """doc_id, text_hash, n_shingles, set_a and set_b (hashes of the set), sig (packed fields), bands (bucket keys)."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash")).mapInArrow(_signed, "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, sig array<long>, bands array<long>")
 
 
 def _equal(sig: np.ndarray, one: np.ndarray) -> np.ndarray:
@@ -122,19 +126,24 @@ def _equal(sig: np.ndarray, one: np.ndarray) -> np.ndarray:
     return ((1 - n / HASHES) - 2.0**-B) / (1 - 2.0**-B)
 
 
-class _Forest:
-    """Joins members by position; remembers the joins."""
+class _Joined:
+    """Sets of members that are joined so far, by position."""
 
-    def __init__(self, n: int):
-        self.label = np.arange(n)
-        self.edges: list[tuple[int, int]] = []
+    def __init__(self, ids: np.ndarray):
+        self.ids, self.label = ids, np.arange(len(ids))
 
     def join(self, a: int, others: np.ndarray) -> None:
-        for b in others.tolist():
-            x, y = self.label[a], self.label[b]
-            if x != y:
-                self.edges.append((a, b))
-                self.label[self.label == max(x, y)] = min(x, y)
+        if len(others):
+            near = np.unique(self.label[np.append(others, a)])
+            self.label[np.isin(self.label, near)] = near[0]
+
+    def stars(self) -> tuple[np.ndarray, np.ndarray]:
+        """(least id of a set, another of its ids)."""
+        _, at = np.unique(self.label, return_inverse=True)
+        least = np.full(at.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, at, self.ids)
+        keep = least[at] != self.ids
+        return least[at][keep], self.ids[keep]
 
 
 def _sides(side: np.ndarray):
@@ -143,27 +152,28 @@ def _sides(side: np.ndarray):
 
 
 def _likely(batches):
-    """Rows (key, x, y, side, doc_id, sig), sorted: a spanning forest of the likely pairs of each group."""
-    out: list[tuple[int, int]] = []
+    """Rows (key, x, y, side, doc_id, sig), sorted: stars of the sets that likely pairs join in each group."""
+    out, n = [], 0
     for _, held in T.groups(batches, 3):
         side, ids = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in ("side", "doc_id"))
         sig = np.concatenate([b.column("sig").flatten().to_numpy() for b in held]).reshape(len(ids), -1).view(U)
         x, y = _sides(side)
-        forest = _Forest(len(ids))
+        joined = _Joined(ids)
         for a in x.tolist():
-            other = y[forest.label[y] != forest.label[a]]
+            other = y[joined.label[y] != joined.label[a]]
             if len(other):
-                forest.join(a, other[_equal(sig[other], sig[a]) >= FLOOR])
-        out += [(ids[a], ids[b]) for a, b in forest.edges]
-        if len(out) > 10_000:
+                joined.join(a, other[_equal(sig[other], sig[a]) >= FLOOR])
+        out.append(joined.stars())
+        n += len(out[-1][0])
+        if n > 10_000:
             yield _pairs(out)
-            out = []
-    if out:
+            out, n = [], 0
+    if n:
         yield _pairs(out)
 
 
 def _confirmed(batches):
-    """Rows (group, x, y, side, doc_id, sig, text), sorted: a spanning forest of the links of each group, on full sets."""
+    """Rows (group, x, y, side, doc_id, sig, text), sorted: stars of the sets that links on full sets join in each group."""
     low, high = THRESHOLD
     for _, held in T.groups(batches, 3):
         side, ids = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in ("side", "doc_id"))
@@ -173,9 +183,9 @@ def _confirmed(batches):
         _, number = np.unique(np.concatenate([h for h, _ in sets]), return_inverse=True)
         end = np.cumsum(size)
         x, y = _sides(side)
-        forest, mark = _Forest(len(ids)), np.zeros(len(number), bool)
+        joined, mark = _Joined(ids), np.zeros(len(number), bool)
         for a in x.tolist():
-            other = y[forest.label[y] != forest.label[a]]
+            other = y[joined.label[y] != joined.label[a]]
             if len(other):
                 other = other[_equal(sig[other], sig[a]) >= FLOOR]
             if not len(other):
@@ -186,13 +196,12 @@ def _confirmed(batches):
             at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(end[other] - n, n)
             both = np.add.reduceat(mark[number[at]].astype(np.int64), np.cumsum(n) - n)
             mark[own] = False
-            forest.join(a, other[high * both >= low * (size[a] + n - both)])
-        if forest.edges:
-            yield _pairs([(ids[a], ids[b]) for a, b in forest.edges])
+            joined.join(a, other[high * both >= low * (size[a] + n - both)])
+        yield _pairs([joined.stars()])
 
 
-def _pairs(rows) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([int(r[k]) for r in rows], pa.int64()) for k in (0, 1)], names=["a", "b"])
+def _pairs(stars) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in stars]), pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
 def _block_pairs(rows: DataFrame, group: str, blocks: Column, *columns: str) -> DataFrame:
@@ -201,27 +210,31 @@ def _block_pairs(rows: DataFrame, group: str, blocks: Column, *columns: str) ->
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
     rows = rows.select(group, F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), side.alias("side"), "doc_id", *columns)
-    return rows.repartition(group, "x", "y").sortWithinPartitions(group, "x", "y")
+    return rows.repartition(group, "x", "y").sortWithinPartitions(group, "x", "y", "doc_id")
 
 
 def near_dups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept."""
     docs = in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = stored(signatures(docs))
-    same = ["n_shingles", "set_a", "set_b"]
-    classes = stored(signed.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("class_id")))
-    reps = signed.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    rows = reps.select("doc_id", F.explode("bands").alias("key"))
+    same, row = ["n_shingles", "set_a", "set_b"], ["doc_id", "text_hash"]
+    first = F.min(F.struct(*row)).alias("first")
+    classes = stored(signed.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(first).select(*same, F.col("first.doc_id").alias("class_id"), "first.text_hash"))
+    reps = signed.join(classes.select(F.col("class_id").alias("doc_id"), "text_hash"), row, "left_semi").dropDuplicates(row)
+    rows = reps.select(*row, F.explode("bands").alias("key"))
     keys = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = rows.join(keys, "key").join(reps.select("doc_id", "sig"), "doc_id")
+    shared = rows.join(keys, "key").join(reps.select(*row, "sig"), row)
     likely = _block_pairs(shared, "key", F.ceil(F.col("n") / BLOCK), "sig").mapInArrow(_likely, "a long, b long")
-    groups = components(likely.distinct()).toDF("doc_id", "group")
-    members = stored(groups.join(reps.select("doc_id", "sig", "n_shingles"), "doc_id"))
+    groups = components(likely).toDF("doc_id", "group")
+    members = stored(groups.join(reps.select(*row, "sig", "n_shingles"), "doc_id"))
     sizes = members.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("n"))
-    texts = docs.join(members.join(sizes, "group").select("doc_id", "group", "sig", "n"), "doc_id").dropDuplicates(["doc_id"])
+    texts = docs.withColumn("text_hash", F.xxhash64("text")).join(members.join(sizes, "group").select(*row, "group", "sig", "n"), row).dropDuplicates(row)
     links = _block_pairs(texts, "group", F.col("n"), "sig", "text").mapInArrow(_confirmed, "a long, b long")
-    labels = components(links)
-    out = signed.select("doc_id", *same).join(classes, same, "left").join(labels.toDF("class_id", "comp"), "class_id", "left")
+    classed = stored(signed.select("doc_id", *same).join(classes.drop("text_hash"), same, "left"))
+    # rows that repeat an id with other texts join the classes of all of them
+    many = classed.groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("_b")).where("a < _b").drop("_b")
+    again = classed.join(many, "doc_id").select("a", F.col("class_id").alias("b")).where("b is not null")
+    out = classed.join(components(links.unionByName(again)).toDF("class_id", "comp"), "class_id", "left")
     comp = F.coalesce("comp", "class_id", "doc_id")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), comp).alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.col("doc_id") == comp).otherwise(F.lit(True)).alias("kept"))
 

@@ -127,11 +127,41 @@ def test_near_dups_by_brute_force(spark, texts, monkeypatch):
     assert all(r.n_shingles == len(sets[i]) and r.kept == (want[i] == i) for i, r in got.items())
 
 
+@pytest.mark.parametrize("blocks", [2048, 7])
+def test_components_do_not_depend_on_the_order_of_rows(spark, monkeypatch, blocks):
+    """Rows of a group in another order at each evaluation, as remote fetches may bring them."""
+    monkeypatch.setattr(near_dups, "BLOCK", blocks)
+    orderly = near_dups._block_pairs
+
+    def shuffled(rows, group, blocks, *columns):
+        return orderly(rows, group, blocks, *columns).withColumn("_r", F.rand()).sortWithinPartitions(group, "x", "y", "_r").drop("_r")
+
+    monkeypatch.setattr(near_dups, "_block_pairs", shuffled)
+    random.seed(14)
+    made = {}
+    for chain in range(6):
+        base = [f"c{chain}w{random.randrange(999)}" for _ in range(110)]
+        for k in range(20):
+            base = [w if random.random() > 0.02 else f"x{chain}_{k}_{random.randrange(99)}" for w in base]
+            made[len(made) * 17 % 1009] = " ".join(base)
+    df = spark.createDataFrame(list(made.items()), "doc_id long, text string").repartition(5)
+    assert {r.doc_id: r.component_id for r in near_dups.near_dups(df).collect()} == _components(_sets(made))
+
+
+def test_rows_that_repeat_an_id_share_a_component(spark):
+    a, b, c = (" ".join(f"{p}{k}" for k in range(40)) for p in "abc")
+    rows = [(5, a), (5, b), (5, b), (3, b + " end"), (9, a), (8, c), (2, ""), (2, c + " z"), (None, a)]
+    got = near_dups.near_dups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, r.component_id, r.kept) for r in got) == sorted(
+        [("5", 36, 3, False)] * 3 + [("3", 37, 3, True), ("9", 36, 3, False), ("8", 36, 2, False), ("2", 0, 2, True), ("2", 37, 2, True), ("None", 36, None, True)]
+    )
+
+
 def test_estimate_corrects_for_chance():
     rng = np.random.default_rng(2)
     sets = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 400))]
     sets.append(" ".join(sets[0].split()[:330] + [f"z{k}" for k in range(70)]))
-    batch = pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array(sets)], names=["doc_id", "text"])
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array(sets), pa.array([0, 1])], names=["doc_id", "text", "text_hash"])
     sig = np.array([x for b in near_dups._signed([batch]) for x in b.column("sig").to_pylist()]).view(np.uint64)
     a, b = (set(v) for v in _sets(dict(enumerate(sets))).values())
     assert abs(near_dups._equal(sig[1:], sig[0])[0] - len(a & b) / len(a | b)) < 0.15
