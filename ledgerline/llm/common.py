@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 #: A word: a maximal run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -16,6 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def integer_id(df: DataFrame, name: str) -> Column:
+    """The id column as long. Any other type is refused: a cast would turn ids into nulls without a word."""
+    if not isinstance(df.schema[name].dataType, IntegralType):
+        raise TypeError(f"{name} must be of an integer type, not {df.schema[name].dataType.simpleString()}")
+    return F.col(name).cast("long")
+
+
 def n_words(text: Column) -> Column:
     """Words in a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import tokens as T
-from ledgerline.llm.common import in_small_batches, stored, table
+from ledgerline.llm.common import in_small_batches, integer_id, stored, table
 from ledgerline.llm.components import components
 
 SHINGLE = 5
@@ -114,7 +114,7 @@ def _signed(batches):
 def signatures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_hash, n_shingles, set_a and set_b (hashes of the set), sig (packed fields), bands (bucket keys)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash")).mapInArrow(_signed, "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, sig array<long>, bands array<long>")
+    return docs.select(integer_id(docs, id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash")).mapInArrow(_signed, "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, sig array<long>, bands array<long>")
 
 
 def _equal(sig: np.ndarray, one: np.ndarray) -> np.ndarray:
@@ -215,7 +215,7 @@ def _block_pairs(rows: DataFrame, group: str, blocks: Column, *columns: str) ->
 
 def near_dups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept."""
-    docs = in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = in_small_batches(docs).select(integer_id(docs, id_col).alias("doc_id"), F.col(text_col).alias("text"))
     signed = stored(signatures(docs))
     same, row = ["n_shingles", "set_a", "set_b"], ["doc_id", "text_hash"]
     first = F.min(F.struct(*row)).alias("first")

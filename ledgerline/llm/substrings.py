@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm import tokens as T
-from ledgerline.llm.common import in_small_batches, table
+from ledgerline.llm.common import in_small_batches, integer_id, table
 
 WINDOW = 13
 SLICE = 8 << 20
@@ -255,7 +255,7 @@ _CUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed",
 
 def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, task_bytes: int = TASK_BYTES) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, removed (array of struct<start, end>, in words), kept_text."""
-    docs = in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = in_small_batches(docs).select(integer_id(docs, id_col).alias("doc_id"), F.col(text_col).alias("text"))
     usable = docs.where("doc_id is not null and text is not null")
     parts = max(8, -(-(usable.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // task_bytes))
     share = max(1 / (4 * parts), LEAST_SHARE)

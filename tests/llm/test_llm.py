@@ -190,35 +190,60 @@ def test_water_fill_clamps_until_none_is_above(spark):
 
 
 def test_syncmers_by_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(syncmers, "CHUNK", 40)
-    monkeypatch.setattr(syncmers, "RANGE_DOCS", 5)
+    """Anchors by the rule itself, marks, the texts' order, edits and both likenesses, over many ranges."""
+    monkeypatch.setattr(syncmers, "RANGE_BYTES", 300)
+    monkeypatch.setattr(syncmers, "FAN", 2)
     random.seed(5)
     alphabet = "ab c\n日é😀"
-    made = {i * 3: "".join(random.choice(alphabet) for _ in range(random.choice([0, 1, 22, 23, 24, 60, 200]))) for i in range(30)}
-    made[7] = made[9]
-    df = spark.createDataFrame([*made.items(), (None, "null id text")], "doc_id long, text string")
-    got = {r.doc_id: r for r in syncmers.fingerprints(df).collect()}
-    order = [*sorted(made, reverse=True), None]
-    made[None] = "null id text"
-    edited = {}
-    for i, j in zip(order, order[1:] + order[:1]):
-        cut = len(made[i]) // 3
-        edited[i] = made[i][: len(made[i]) - cut] + made[j][:cut]
-    assert {i: r.edited_text for i, r in got.items()} == edited and all(r.n_chars == len(made[i]) for i, r in got.items())
-    whole = spark.createDataFrame([(k, v) for k, v in enumerate([*made.values(), *(edited[i] for i in made)])], "k int, t string").withColumn("s", F.split("t", ""))
-    # the rule itself, on hashes of all substrings from Spark
-    parts = sorted({t[i : i + 8] for t in [*made.values(), *(edited[i] for i in made)] for i in range(len(t) - 7)})
-    hashed = {r.p: r.h for r in spark.createDataFrame([(p,) for p in parts], "p string").select("p", F.xxhash64("p").alias("h")).collect()}
-
-    def places(t):
-        h = [hashed[t[i : i + 8]] for i in range(len(t) - 7)]
-        return [i for i in range(len(h) - 15) if min(h[i : i + 16]) in (h[i], h[i + 15])]
-
-    found = {r.k: r.p for r in whole.select("k", F.transform(syncmers.anchors(F.col("t")), lambda a: a.pos).alias("p")).collect()}
-    assert [found[k] for k in range(len(found))] == [places(t) for t in [*made.values(), *(edited[i] for i in made)]]
-    prints = {r.k: r.f for r in whole.select("k", syncmers.fingerprint(syncmers.hashes(syncmers.anchors(F.col("t")), F.col("t"))).alias("f")).collect()}
-    assert [got[i].fingerprint for i in made] + [got[i].edited_fingerprint for i in made] == [prints[k] for k in range(len(prints))]
-    assert got[7].fingerprint == got[9].fingerprint and all(0 <= r.near_edited <= 1 for r in got.values())
+    made = {i * 3: "".join(random.choice(alphabet) for _ in range(random.choice([0, 1, 16, 22, 23, 24, 60, 200]))) for i in range(30)}
+    made[7] = made[9] = "".join(random.choice(alphabet) for _ in range(90))
+    made[300], made[301], made[302] = "=" * 500, made[9] + " and more of it", LONG[:9000]
+    rows = [*made.items(), (9, made[9]), (9, "another text of one id, long enough for anchors " * 3), (None, "null id text, which comes last of all, after every number")]
+    got = syncmers.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    strings = {t for _, t in rows} | {r.edited_text for r in got}
+    parts = {t.encode()[i : i + n] for t in strings for n in (syncmers.S, syncmers.K) for i in range(len(t.encode()) - n + 1)}
+    hashed = {bytes(r.p): r.h for r in spark.createDataFrame([(p,) for p in parts], "p binary").select("p", F.xxhash64("p").alias("h")).collect()}
+    whole = {r.t: r.h for r in spark.createDataFrame([(t,) for t in strings], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+
+    def anchors(text):
+        data, s, k = text.encode(), syncmers.S, syncmers.K
+        h = [hashed[data[i : i + s]] for i in range(len(data) - s + 1)]
+        return [(i, hashed[data[i : i + k]]) for i in range(len(data) - k + 1) if min(h[i : i + k - s + 1]) in (h[i], h[i + k - s])]
+
+    pairs = {(h, q - p if q is not None else -1) for t in strings for (p, h), (q, _) in zip(anchors(t), [*anchors(t)[1:], (None, 0)])}
+    mixed = {(r.h, r.n): r.m for r in spark.createDataFrame([*pairs], "h long, n int").select("h", "n", F.xxhash64("h", "n").alias("m")).collect()}
+
+    def marks(text):
+        a = anchors(text)
+        return [mixed[h, q - p if q is not None else -1] for (p, h), (q, _) in zip(a, [*a[1:], (None, 0)])] or [whole[text]]
+
+    def near(x, y):
+        x, y = set(marks(x)), set(marks(y))
+        return len(x & y) / len(x | y)
+
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), whole[r[1]]))
+    want = []
+    for (i, t), (_, u) in zip(order, order[1:] + order[:1]):
+        edited = t[: len(t) - len(t) // 3] + u[: len(t) // 3]
+        want.append((i, len(t), edited, " ".join(map(str, marks(t))), " ".join(map(str, marks(edited))), near(t, edited), near(t, u)))
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got)
+    by_id = {r.doc_id: r for r in got if r.doc_id != 9}
+    assert by_id[7].fingerprint in {r.fingerprint for r in got if r.doc_id == 9} and 0.3 < by_id[302].near_edited < 0.7
+
+
+@pytest.mark.parametrize("n", [1, 5, 128, 129, 1000])
+def test_ranges_are_found_at_every_level(spark, n):
+    bounds = [9 * i - 40 for i in range(n)]
+    keys = spark.range(-60, 9 * n, 4).select("id", syncmers._range(F.col("id"), bounds).alias("r")).collect()
+    assert all(r.r == sum(b <= r.id for b in bounds) for r in keys)
+
+
+def test_ids_of_another_type_are_refused(spark):
+    df = spark.createDataFrame([("a", "text")], "doc_id string, text string")
+    for op in (near_dups.near_dups, syncmers.fingerprints, substrings.dedup_substrings):
+        with pytest.raises(TypeError):
+            op(df)
 
 
 # ---- 6
