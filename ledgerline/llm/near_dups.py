@@ -130,15 +130,18 @@ class _Joined:
     """Sets of members that are joined so far, by position."""
 
     def __init__(self, ids: np.ndarray):
-        self.ids, self.label = ids, np.arange(len(ids))
+        self.ids, self.label, self.any = ids, np.arange(len(ids)), False
 
     def join(self, a: int, others: np.ndarray) -> None:
         if len(others):
+            self.any = True
             near = np.unique(self.label[np.append(others, a)])
             self.label[np.isin(self.label, near)] = near[0]
 
     def stars(self) -> tuple[np.ndarray, np.ndarray]:
         """(least id of a set, another of its ids)."""
+        if not self.any:
+            return self.ids[:0], self.ids[:0]
         _, at = np.unique(self.label, return_inverse=True)
         least = np.full(at.max() + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, at, self.ids)
@@ -153,23 +156,37 @@ def _sides(side: np.ndarray):
 
 def _likely(batches):
     """Rows (key, x, y, side, doc_id, sig), sorted: stars of the sets that likely pairs join in each group."""
-    out, n = [], 0
+    out, twos, n = [], [], 0
     for _, held in T.groups(batches, 3):
         side, ids = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in ("side", "doc_id"))
         sig = np.concatenate([b.column("sig").flatten().to_numpy() for b in held]).reshape(len(ids), -1).view(U)
-        x, y = _sides(side)
-        joined = _Joined(ids)
-        for a in x.tolist():
-            other = y[joined.label[y] != joined.label[a]]
-            if len(other):
-                joined.join(a, other[_equal(sig[other], sig[a]) >= FLOOR])
-        out.append(joined.stars())
-        n += len(out[-1][0])
+        if len(ids) == 2:  # most groups: compared many at a time
+            if side[0] == 2 or side[0] != side[1]:
+                twos.append((ids, sig))
+                n += 1
+        else:
+            x, y = _sides(side)
+            joined = _Joined(ids)
+            for a in x.tolist():
+                other = y[joined.label[y] != joined.label[a]]
+                if len(other):
+                    joined.join(a, other[_equal(sig[other], sig[a]) >= FLOOR])
+            out.append(joined.stars())
+            n += len(out[-1][0])
         if n > 10_000:
-            yield _pairs(out)
-            out, n = [], 0
+            yield _pairs([*out, _alike(twos)])
+            out, twos, n = [], [], 0
     if n:
-        yield _pairs(out)
+        yield _pairs([*out, _alike(twos)])
+
+
+def _alike(twos) -> tuple[np.ndarray, np.ndarray]:
+    """The likely ones of many pairs, as stars."""
+    if not twos:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    ids, sig = np.array([i for i, _ in twos]), np.array([s for _, s in twos])
+    near = _equal(sig[:, 0], sig[:, 1]) >= FLOOR
+    return ids[near].min(1), ids[near].max(1)
 
 
 def _confirmed(batches):
