@@ -1,23 +1,32 @@
 """Operator 9: substring dedup by prefix-partitioned suffix trees over words.
 
-A suffix starts at each word. Suffixes are dealt into memory-sized groups by variable-length
-prefixes (2, 4, 8 or all words of a window): a first pass over all documents finds the
-prefixes too frequent for one group, and those are lengthened. Each group then has the subtree
-of its suffixes, cut at the depth of the window: the suffixes that share a whole window are the
-leaves below one internal node at that depth, found by sorting the suffixes by the name (a
-64-bit hash) of their window. A node with leaves in two or more documents is a maximal repeat's
-part: the leaves outside the smallest document id are repeats, and the runs of words they cover
-are removed.
-
-Skew: before the shuffle each slice of input (about 8 MB) keeps, of the leaves below one node,
-only those of its smallest document; the others are repeats already. So a window that stands in
-a third of all documents reaches its group once a slice. Suffixes travel as packed arrays of
-about ten bytes each, repeats as packed arrays by document bucket.
+A suffix starts at each word, and suffixes are compared word by word, on the words themselves. What
+decides is whether two of them share ``window`` words, so subtrees are cut at that depth: a deep
+internal node is a run of suffixes, in suffix order, with a longest common prefix of ``window`` words
+or more between neighbours. Below a node with leaves in two or more documents lies a part of a
+maximal repeat: the leaves outside the smallest document id are repeats, and the runs of words that
+they cover are removed.
+
+The order comes from prefix doubling: words get exact numbers (by a hash, then confirmed byte by
+byte), and ranks of 1, 2, 4 and 8 words give those of a whole window. Equal ranks are equal words.
+
+Suffixes are dealt into memory-sized groups by a variable-length prefix: the least-hashed run of 2
+words in the window, or of 4, 8 or all of them where a first pass over all documents finds the
+shorter ones too frequent. Suffixes next to each other mostly share that run, so they travel
+together as one stretch of text, about three words a suffix instead of ``window``. A group that is
+still too large for memory is ordered in several passes, each over the suffixes of one residue of
+the hash of their window.
+
+Skew: before the shuffle each slice of input (about 8 MB) orders its own suffixes and keeps, of the
+leaves below one node, only those of its smallest document; the others are repeats already. So a
+window that stands in a third of all documents reaches its group once a slice. Repeats travel as
+packed arrays by document bucket.
 
 Defined results: null or empty texts have no words; a row with a null id keeps all words and
-removes nothing elsewhere; rows with one id are one document (texts alike); texts shorter than
-the window lose nothing; an empty table gives no rows; other columns of the input are ignored.
-Two different windows share a 64-bit name with a chance of about n * n / 2 ** 65 for n windows.
+removes nothing elsewhere; rows with one id are one document (a window that stands in two of their
+texts is no repeat; each text loses what smaller ids have, at the places found in any of them);
+texts shorter than the window lose nothing; an empty table gives no rows; other columns of the input
+are ignored. The id column must be of an integer type.
 """
 
 from __future__ import annotations
@@ -34,9 +43,9 @@ from ledgerline.llm.common import in_small_batches, integer_id, table
 
 WINDOW = 13
 SLICE = 8 << 20
-#: Bytes of text whose suffixes a task holds: about 2.5 million, 50 bytes of memory each.
-TASK_BYTES = 16 << 20
-#: Prefixes are lengthened from this share of all suffixes on, or a quarter of a task's: so many at most.
+#: Bytes of input text whose suffixes a group holds, and of stretches (about three times as long) that are ordered at once.
+TASK_BYTES, ORDER_BYTES = 4 << 20, 32 << 20
+#: Prefixes are lengthened from this share of all suffixes on, or a thirty-second of a group's: so many at most a level.
 LEAST_SHARE = 1 / 65536
 #: Document buckets: pmod(id, PRIME) * SPREAD % PRIME, the same in numpy and in SQL.
 PRIME, SPREAD = 2147483647, 48271
@@ -48,27 +57,63 @@ def prefix_lengths(window: int) -> list[int]:
     return [n for k in range(1, 30) if (n := 2**k) < window] + [window]
 
 
-def _suffixes(batch: pa.RecordBatch, window: int):
-    """Sorted ids, first word of each document (one more), word names, starts of whole windows."""
-    ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-    order = np.argsort(ids, kind="stable")
-    data, offsets = T.text_bytes(batch.column("text").take(pa.array(order)))
-    starts, ends, row = T.words(data, offsets)
-    first = np.searchsorted(row, np.arange(len(ids) + 1))
+def word_ids(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the words, equal for equal bytes and only for them; and the 64-bit hashes that were confirmed."""
     names = T.hashes(data, starts, ends)
+    _, first, ids = np.unique(names, return_index=True, return_inverse=True)
+    lead = first[ids]
+    size = ends - starts
+    same = bool((size == size[lead]).all())
+    for a in range(0, len(starts) if same else 0, block):
+        n = size[a : a + block]
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        if not (data[at + np.repeat(starts[a : a + block], n)] == data[at + np.repeat(starts[lead[a : a + block]], n)]).all():
+            same = False
+            break
+    if not same:  # two words share a hash
+        raw, numbers = data.tobytes(), {}
+        ids = np.array([numbers.setdefault(raw[s:e], len(numbers)) for s, e in zip(starts.tolist(), ends.tolist())], np.int64)
+    return ids, names
+
+
+def window_ranks(ids: np.ndarray, whole: np.ndarray, window: int) -> np.ndarray:
+    """Ranks, in suffix order, of the windows that start at ``whole``: equal where all ``window`` words are."""
+
+    def pairs(rank, size, total, at):
+        """Ranks of ``total`` words from those of ``size``, at the given places."""
+        return np.unique(rank[at] * (int(rank.max()) + 1) + rank[at + total - size], return_inverse=True)[1]
+
+    rank, size = ids.astype(np.int64), 1
+    if not len(whole):
+        return whole
+    while 2 * size < window:
+        rank, size = pairs(rank, size, 2 * size, np.arange(len(ids) - 2 * size + 1)), 2 * size
+    return pairs(rank, size, window, whole) if size < window else np.unique(rank[whole], return_inverse=True)[1]
+
+
+def deep_nodes(rank: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each leaf, the smallest document below its deep node."""
+    least = np.full(int(rank.max()) + 1 if len(rank) else 0, np.iinfo(np.int64).max)
+    np.minimum.at(least, rank, doc)
+    return least[rank]
+
+
+def _parsed(column: pa.Array, window: int):
+    """Bytes, word starts and ends, first word of each row (one more), starts of whole windows, row of each word."""
+    data, offsets = T.text_bytes(column)
+    starts, ends, row = T.words(data, offsets)
     n = len(row) - window + 1
     whole = np.flatnonzero(row[:n] == row[window - 1 :]) if n > 0 else np.zeros(0, np.int64)
-    return ids[order].astype(np.int64), first, names, whole
+    return data, starts, ends, np.searchsorted(row, np.arange(len(column) + 1)), whole, row
 
 
 def _frequent(window: int, share: float):
-    """Prefixes with that share of a slice's suffixes, level by level, and the number of suffixes at level 0."""
+    """Runs of words with that share of a slice's suffixes, level by level, and the number of suffixes at level 0."""
 
     def run(batches):
         for batch in T.slices(batches, SLICE):
-            _, _, names, whole = _suffixes(batch, window)
-            out = [(0, 0, len(whole))]
-            at = whole
+            data, starts, ends, _, whole, _ = _parsed(batch.column("text"), window)
+            out, names, at = [(0, 0, len(whole))], T.hashes(data, starts, ends), whole
             for size in prefix_lengths(window)[:-1]:
                 key = T.window_hashes(names, size)[at]
                 values, counts = np.unique(key, return_counts=True)
@@ -82,35 +127,55 @@ def _frequent(window: int, share: float):
     return run
 
 
-def _pack(h: np.ndarray, at: np.ndarray, ids: np.ndarray, first: np.ndarray) -> bytes:
-    """h: sorted, not empty. Differences and places in as many bytes as the largest takes; the table of documents compressed."""
-    diff = np.diff(h, prepend=h[0])
-    wide, narrow = max(1, -(-int(diff.max()).bit_length() // 8)), max(1, -(-int(at.max()).bit_length() // 8))
-    lead = int(h[0])
-    own = np.unique(np.searchsorted(first, at, "right") - 1)  # documents of these suffixes
-    ids, first = ids[own], first[own]
-    docs = zlib.compress(np.concatenate([np.diff(ids, prepend=0), np.diff(first, prepend=0)]).astype("<i8").tobytes(), 1)
-    head = np.array([len(h), wide, narrow, len(ids), len(docs)], "<i8").tobytes() + np.array([lead], "<u8").tobytes()
-    return head + docs + diff.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide].tobytes() + at.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :narrow].tobytes()
-
-
-def _widen(raw: bytes, n: int, have: int, want: int) -> np.ndarray:
-    out = np.zeros((n, want), np.uint8)
-    out[:, :have] = np.frombuffer(raw, np.uint8, n * have).reshape(n, have)
-    return out.view(f"<u{want}").ravel()
-
-
-def _unpack(blob: bytes):
-    """Window names, document ids, places in the document."""
-    n, wide, narrow, n_ids, n_docs = (int(x) for x in np.frombuffer(blob, "<i8", 5))
-    lead = np.frombuffer(blob, "<u8", 1, 40)[0]
-    docs = np.frombuffer(zlib.decompress(blob[48 : 48 + n_docs]), "<i8")
-    ids, first = np.cumsum(docs[:n_ids]), np.cumsum(docs[n_ids:])
-    rest = memoryview(blob)[48 + n_docs :]
-    h = np.cumsum(_widen(rest[: n * wide], n, wide, 8), dtype=U) + lead
-    at = _widen(rest[n * wide :], n, narrow, 4).astype(np.int64)
-    row = np.searchsorted(first, at, "right") - 1
-    return h, ids[row], (at - first[row]).astype(np.int32)
+def _sliding_least(x: np.ndarray, n: int) -> np.ndarray:
+    """Least of each n neighbours."""
+    size = 1
+    while 2 * size <= n:
+        x, size = np.minimum(x[:-size], x[size:]), 2 * size
+    return np.minimum(x[: len(x) - (n - size)], x[n - size :]) if size < n else x
+
+
+def _keys(names: np.ndarray, at: np.ndarray, frequent: dict[int, np.ndarray], window: int) -> np.ndarray:
+    """The group key of the windows at the given places: of their words alone."""
+    key, open_ = np.zeros(len(at), U), np.ones(len(at), bool)
+    top = U(1 << 63)
+    for size in prefix_lengths(window):
+        if not open_.any():
+            break
+        h = T.window_hashes(names, size)
+        rare = T.mix64(h + U(size)) & ~top
+        if size < window:
+            rare[np.isin(h, frequent[size])] |= top
+        got = _sliding_least(rare, window - size + 1)[at]
+        take = open_ & ((got & top == 0) | (size == window))
+        key[take] = got[take]
+        open_ &= ~take
+    return key
+
+
+def _stretches(at: np.ndarray, group: np.ndarray, row: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """First window, and words, of the runs of neighbouring windows of one row and group; ``at`` is sorted."""
+    new = np.ones(len(at), bool)
+    new[1:] = (at[1:] != at[:-1] + 1) | (group[1:] != group[:-1]) | (row[at[1:]] != row[at[:-1]])
+    first = np.flatnonzero(new)
+    return first, np.diff(first, append=len(at)) + window - 1
+
+
+def _pack(ids: np.ndarray, place: np.ndarray, texts: list[bytes]) -> bytes:
+    """Stretches of a group: document ids, places in the document, texts."""
+    body = b"".join(texts)
+    head = np.concatenate([np.diff(ids, prepend=0), place, np.array([len(t) for t in texts])]).astype("<i8")
+    planes = np.ascontiguousarray(head.view(np.uint8).reshape(-1, 8).T).tobytes()
+    both = pa.compress(planes + body, codec="zstd", asbytes=True)
+    return np.array([len(ids), len(body)], "<u4").tobytes() + both
+
+
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    n, size = (int(x) for x in np.frombuffer(blob, "<u4", 2))
+    raw = pa.decompress(memoryview(blob)[8:], decompressed_size=24 * n + size, codec="zstd", asbytes=True)
+    head = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 24 * n).reshape(8, -1).T).view("<i8").ravel()
+    ends = np.concatenate([[0], np.cumsum(head[2 * n :])]).astype("<i4")
+    return np.cumsum(head[:n]), head[n : 2 * n], pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(raw[24 * n :])])
 
 
 def _bucket(ids: np.ndarray, buckets: int) -> np.ndarray:
@@ -142,73 +207,89 @@ def _rows(rows) -> pa.RecordBatch:
 
 
 def _deal(window: int, frequent: dict[int, np.ndarray], parts: int, buckets: int):
-    """Suffixes to the parts of their prefixes; repeats inside a slice to document buckets."""
+    """Suffixes to the groups of their prefixes, as stretches; repeats inside a slice to document buckets."""
 
     def run(batches):
         for batch in T.slices(batches, SLICE):
-            ids, first, names, whole = _suffixes(batch, window)
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+            data, starts, ends, first, whole, row = _parsed(batch.column("text"), window)
             if not len(whole):
                 continue
-            h = T.window_hashes(names, window)[whole]
-            order = np.argsort(h, kind="stable")  # documents stay in order of id below equal names
-            h, at = h[order], whole[order]
-            doc = ids[np.searchsorted(first, at, "right") - 1]
-            new = np.concatenate([[True], h[1:] != h[:-1]])
-            least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-            later = doc > least
+            numbers, names = word_ids(data, starts, ends)
+            doc = ids[row[whole]]
+            later = doc > deep_nodes(window_ranks(numbers, whole, window), doc)
             if later.any():
-                place = (at - first[np.searchsorted(first, at, "right") - 1])[later]
+                place = whole[later] - first[row[whole[later]]]
                 yield _rows([(b, True, x) for b, x in _marks(doc[later], place, buckets)])
-            h, at = h[~later], at[~later]
-            sizes = prefix_lengths(window)
-            key, grown = T.window_hashes(names, sizes[0])[at], np.ones(len(at), bool)
-            for size, longer in zip(sizes, sizes[1:]):
-                grown &= np.isin(key, frequent[size])  # a longer prefix only below a frequent shorter one
-                if not grown.any():
-                    break
-                key = np.where(grown, T.window_hashes(names, longer)[at], key)
-            part = (T.mix64(key) % U(parts)).astype(np.int32)
-            by = np.argsort(part, kind="stable")
-            ends = np.cumsum(np.bincount(part, minlength=parts))
-            rows = []
-            for p in np.flatnonzero(np.diff(ends, prepend=0)):
-                take = by[ends[p - 1] if p else 0 : ends[p]]
-                rows.append((int(p), False, _pack(h[take], at[take], ids, first)))
-            yield _rows(rows)
+            at = whole[~later]
+            part = (_keys(names, at, frequent, window) % U(parts)).astype(np.int64)
+            lead, size = _stretches(at, part, row, window)
+            begin, raw = at[lead], data.tobytes()
+            group, owner, place = part[lead], ids[row[begin]], begin - first[row[begin]]
+            a, z = starts[begin], ends[begin + size - 1]
+            order = np.lexsort((place, owner, group))
+            out = []
+            for run_ in np.split(order, np.flatnonzero(np.diff(group[order])) + 1) if len(order) else []:
+                out.append((int(group[run_[0]]), False, _pack(owner[run_], place[run_], [raw[i:j] for i, j in zip(a[run_].tolist(), z[run_].tolist())])))
+                if len(out) == 500:
+                    yield _rows(out)
+                    out = []
+            yield _rows(out)
 
     return run
 
 
-def _subtrees(buckets: int):
-    """Of all suffixes of the parts in this task: repeats below the nodes at the window's depth."""
+def _found(held: list[tuple[np.ndarray, np.ndarray, pa.Array]], window: int, residue: tuple[int, int] = (0, 1)) -> tuple[np.ndarray, np.ndarray]:
+    """Documents and places of the repeats among the suffixes of the stretches held, or of one residue of their windows."""
+    ids, place = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+    data, starts, ends, first, whole, row = _parsed(pa.concat_arrays([h[2] for h in held]), window)
+    numbers, names = word_ids(data, starts, ends)
+    if residue[1] > 1:
+        whole = whole[T.window_hashes(names, window)[whole] % U(residue[1]) == residue[0]]
+    at = row[whole]
+    doc, where = ids[at], place[at] + whole - first[at]
+    later = doc > deep_nodes(window_ranks(numbers, whole, window), doc)
+    return doc[later], where[later]
+
+
+def _subtrees(window: int, buckets: int, order_bytes: int):
+    """Of all suffixes of the groups in this task: repeats below the nodes at the window's depth."""
 
     def run(batches):
-        kept: dict[int, list] = {}
+        kept: dict[int, list[bytes]] = {}
         for batch in batches:
             for part, done, blob in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if done:
                     yield _rows([(part, True, blob)])
                 else:
-                    kept.setdefault(part, []).append(_unpack(blob))
+                    kept.setdefault(part, []).append(blob)
         for part in list(kept):
-            h, doc, at = (np.concatenate(x) for x in zip(*kept.pop(part)))
-            order = np.argsort(h)
-            h = h[order]
-            start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            n = np.diff(start, append=len(h))
-            shared = np.repeat(n > 1, n)  # leaves of internal nodes
-            doc, at = doc[order][shared], at[order][shared]
-            n = n[n > 1]
-            if not len(n):
-                continue
-            least = np.minimum.reduceat(doc, np.cumsum(n) - n)
-            later = doc > np.repeat(least, n)
-            if later.any():
-                yield _rows([(b, True, x) for b, x in _marks(doc[later], at[later].astype(np.int64), buckets)])
+            blobs = kept.pop(part)
+            size = sum(int(np.frombuffer(b, "<u4", 2)[1]) for b in blobs)
+            passes = -(-size // order_bytes)
+            for k in range(passes):
+                held = []
+                for blob in blobs:
+                    one = _unpack(blob)
+                    held.append(one if passes == 1 else _narrowed(one, window, (k, passes)))
+                doc, place = _found([h for h in held if len(h[0])] or held[:1], window, (k, passes))
+                if len(doc):
+                    yield _rows([(b, True, x) for b, x in _marks(doc, place, buckets)])
 
     return run
 
 
+def _narrowed(one: tuple[np.ndarray, np.ndarray, pa.Array], window: int, residue: tuple[int, int]):
+    """The shorter stretches that hold the windows of one residue."""
+    ids, place, texts = one
+    data, starts, ends, first, whole, row = _parsed(texts, window)
+    at = whole[T.window_hashes(T.hashes(data, starts, ends), window)[whole] % U(residue[1]) == residue[0]]
+    lead, size = _stretches(at, np.zeros(len(at), np.int64), row, window)
+    begin, raw = at[lead], data.tobytes()
+    parts = [raw[a:z] for a, z in zip(starts[begin].tolist(), ends[begin + size - 1].tolist())]
+    return ids[row[begin]], place[row[begin]] + begin - first[row[begin]], pa.array(parts, pa.binary())
+
+
 def _cut(window: int):
     """Marks of a bucket, then its documents: what is left of each."""
 
@@ -253,23 +334,23 @@ _SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 _CUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("removed", _SPAN), ("kept_text", pa.string())])
 
 
-def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, task_bytes: int = TASK_BYTES) -> DataFrame:
+def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, task_bytes: int = TASK_BYTES, order_bytes: int = ORDER_BYTES) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, removed (array of struct<start, end>, in words), kept_text."""
     docs = in_small_batches(docs).select(integer_id(docs, id_col).alias("doc_id"), F.col(text_col).alias("text"))
     usable = docs.where("doc_id is not null and text is not null")
     parts = max(8, -(-(usable.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // task_bytes))
-    share = max(1 / (4 * parts), LEAST_SHARE)
+    share = max(1 / (32 * parts), LEAST_SHARE)
     found = usable.mapInArrow(_frequent(window, share), "size long, prefix long, n long").groupBy("size", "prefix").agg(F.sum("n").alias("n"))
     total = F.sum(F.when(F.col("size") == 0, F.col("n"))).over(Window.partitionBy())
     found = found.withColumn("total", total).where((F.col("size") > 0) & (F.col("n") >= F.col("total") * share)).collect()  # 1 / share a level at most
     frequent = {k: np.sort(np.array([r.prefix for r in found if r["size"] == k], np.int64).view(U)) for k in prefix_lengths(window)[:-1]}
     kind = "part int, marks boolean, blob binary"
-    dealt = usable.mapInArrow(_deal(window, frequent, parts + parts // 2, parts), kind).repartition(parts, "part", "marks")
-    marks = dealt.mapInArrow(_subtrees(parts), kind)
+    dealt = usable.mapInArrow(_deal(window, frequent, parts, parts), kind).repartitionById(parts, F.col("part"))
+    marks = dealt.mapInArrow(_subtrees(window, parts, order_bytes), kind)
     marks = marks.select(F.col("part").alias("bucket"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.col("blob").alias("mark"))
     bucket = F.coalesce((F.pmod("doc_id", F.lit(PRIME)) * SPREAD) % PRIME % parts, F.lit(0)).cast("int")
     rows = marks.unionByName(docs.select(bucket.alias("bucket"), "doc_id", "text", F.lit(None).cast("binary").alias("mark")))
-    rows = rows.repartition(parts, "bucket").sortWithinPartitions("bucket", F.col("mark").isNull())
+    rows = rows.repartitionById(parts, F.col("bucket")).sortWithinPartitions(F.col("mark").isNull())
     return rows.mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, removed array<struct<start:int,end:int>>, kept_text string")
 
 

@@ -372,11 +372,50 @@ def test_substrings_by_brute_force(spark):
         gone = {j for k in range(len(w) - 12) if starts[tuple(w[k : k + 13])] < i for j in range(k, k + 13)}
         want[i] = (len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone))
     df = spark.createDataFrame(list(made.items()), "doc_id long, text string").repartition(5)
-    for size in (64, 1 << 20):  # many prefix groups, some lengthened; one
-        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substrings.dedup_substrings(df, task_bytes=size).collect()}
+    for size, order in ((64, 1 << 20), (1 << 20, 1 << 20), (1 << 20, 300)):  # many groups, some lengthened; one; several passes a group
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substrings.dedup_substrings(df, task_bytes=size, order_bytes=order).collect()}
         assert got == want
 
 
+def test_words_that_share_a_hash_stay_apart(monkeypatch):
+    """With every hash equal, numbers and ranks are still those of the words, and only true repeats are found."""
+    monkeypatch.setattr(tokens, "hashes", lambda data, starts, ends, *a, **k: np.zeros(len(starts), np.uint64))
+    random.seed(15)
+    rows = [[random.choice("abcd") + random.choice("xy") * random.randrange(3) for _ in range(n)] for n in (40, 30, 12, 13, 60)]
+    rows[4][20:38] = rows[0][5:23]
+    texts_ = pa.array([" ".join(r).encode() for r in rows], pa.binary())
+    data, starts, ends, first, whole, row = substrings._parsed(texts_, 13)
+    ids, _ = substrings.word_ids(data, starts, ends)
+    flat = sum(rows, [])
+    assert all((ids[i] == ids[j]) == (flat[i] == flat[j]) for i in range(len(flat)) for j in range(i))
+    rank = substrings.window_ranks(ids, whole, 13)
+    assert all((rank[i] == rank[j]) == (flat[whole[i] : whole[i] + 13] == flat[whole[j] : whole[j] + 13]) for i in range(len(whole)) for j in range(i))
+    doc, place = substrings._found([(np.arange(5), np.zeros(5, np.int64), texts_)], 13)
+    assert sorted(zip(doc.tolist(), place.tolist())) == [(4, k) for k in range(20, 26)]
+
+
+@pytest.mark.parametrize("window", [1, 2, 3, 5, 8, 13])
+def test_window_ranks_follow_suffix_order(window):
+    rng = np.random.default_rng(window)
+    ids = rng.integers(0, 3, 400)
+    whole = np.arange(len(ids) - window + 1)
+    rank = substrings.window_ranks(ids, whole, window)
+    order = [tuple(ids[i : i + window]) for i in whole]
+    assert [order[i] for i in np.argsort(rank, kind="stable")] == sorted(order) and len(set(order)) == rank.max() + 1
+
+
+def test_stretches_come_back_from_a_blob():
+    ids, place, texts_ = np.array([-5, 3, 3]), np.array([7, 0, 900]), [b"a b c", "é 日本".encode(), b""]
+    got = substrings._unpack(substrings._pack(ids, place, texts_))
+    assert got[0].tolist() == ids.tolist() and got[1].tolist() == place.tolist() and got[2].to_pylist() == texts_
+
+
+def test_odd_rows_of_substrings(odd):
+    """Repeated ids are one document; null ids lose nothing and repeat nothing; a very long text loses what a smaller id has."""
+    got = sorted((str(r.doc_id), r.n_words, r.n_removed) for r in substrings.dedup_substrings(odd).collect())
+    assert got == sorted([("1", 7, 0)] * 2 + [("2", 0, 0), ("3", 0, 0), ("4", 0, 0), ("None", 6, 0), ("5", 60_000, 0), ("6", 60_001, 60_000), ("7", 1, 0), ("8", 5, 0), ("9", 7, 0)])
+
+
 # ---- 10
 
 
