@@ -42,12 +42,12 @@ def run_edges(found: DataFrame, image: list[str], y: str, corners: bool = True)
 
 
 def label_runs(cells: DataFrame, image: list[str], y: str, x: str, corners: bool = True) -> DataFrame:
-    """Runs with the component they belong to: image, y, a, z, id, comp. Run ids follow (image, y, a)."""
+    """Runs with the component they belong to: image, y, a, z, id, comp. Run ids are hashes of (image, y, a)."""
     from ledgerline.operators.components import components
+    from ledgerline.operators.durable import stored
 
     found = runs(cells, image, y, x)
-    found = found.withColumn("id", F.row_number().over(Window.orderBy(*image, y, "a")).cast("long")) if not image else found.withColumn("id", F.xxhash64(*image, y, "a"))
-    found = found.persist()
+    found = stored(found.withColumn("id", F.xxhash64(*image, y, "a")))
     labels = components(run_edges(found, image, y, corners))
     return found.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
@@ -77,9 +77,9 @@ def erode(cells: DataFrame, image: list[str], y: str, x: str) -> DataFrame:
 
 def circle_fit(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Algebraic circle fit by moments: cx, cy, r of x*x + y*y = 2 cx x + 2 cy y + c, solved about the centroid."""
-    w = Window.partitionBy(*keys)
     u, v = F.col("_u"), F.col("_v")
-    d = df.withColumn("_mx", F.avg(x).over(w)).withColumn("_my", F.avg(y).over(w)).withColumn("_u", F.col(x) - F.col("_mx")).withColumn("_v", F.col(y) - F.col("_my"))
+    mean = df.groupBy(*keys).agg(F.avg(x).alias("_mx"), F.avg(y).alias("_my"))
+    d = df.join(mean, keys).withColumn("_u", F.col(x) - F.col("_mx")).withColumn("_v", F.col(y) - F.col("_my"))
     q = u * u + v * v
     g = d.groupBy(*keys).agg(F.count("*").alias("n"), F.first("_mx").alias("mx"), F.first("_my").alias("my"), F.sum(u * u).alias("uu"), F.sum(u * v).alias("uv"), F.sum(v * v).alias("vv"), F.sum(u * q).alias("uq"), F.sum(v * q).alias("vq"))
     det = F.col("uu") * F.col("vv") - F.col("uv") * F.col("uv")

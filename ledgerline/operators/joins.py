@@ -22,17 +22,25 @@ def _grams(words: Column, n: int) -> Column:
 def contained_in(needles: DataFrame, needle_id: str, needle: str, texts: DataFrame, text_id: str, text: str, gram: int = 8) -> DataFrame:
     """(needle_id, text_id) where the text contains the needle.
 
-    An inner word n-gram of the needle, free of what surrounds it, is the join key; ``contains`` decides. Needles
-    too short to have one are compared with every text.
+    An inner word n-gram of the needle, free of what surrounds it, is the join key; ``contains`` decides. A needle too
+    short to have one is looked up by its longest piece in the vocabulary of the texts (on the piece's first characters),
+    and compared with the texts that have such a word. A needle without a word is found nowhere.
     """
     n = needles.select(needle_id, F.col(needle).alias("_n")).withColumn("_w", F.regexp_extract_all("_n", F.lit(WORD), F.lit(0)))
     long = n.where(F.size("_w") >= gram + 2).withColumn("_g", F.element_at(_grams(F.slice("_w", F.lit(2), F.size("_w") - 2), gram), 1))
     t = texts.select(text_id, F.col(text).alias("_t"))
-    keys = F.array_distinct(_grams(F.regexp_extract_all("_t", F.lit(WORD), F.lit(0)), gram))
-    hits = t.select(text_id, F.explode(keys).alias("_g")).join(long.select(needle_id, "_g"), "_g").select(needle_id, text_id).distinct()
-    found = hits.join(long.select(needle_id, "_n"), needle_id).join(t, text_id).where(F.col("_t").contains(F.col("_n")))
-    short = n.where(F.size("_w") < gram + 2).select(needle_id, "_n").join(t, F.col("_t").contains(F.col("_n")))
-    return found.select(needle_id, text_id).unionByName(short.select(needle_id, text_id))
+    words = F.regexp_extract_all("_t", F.lit(WORD), F.lit(0))
+    hits = t.select(text_id, F.explode(F.array_distinct(_grams(words, gram))).alias("_g")).join(long.select(needle_id, "_g"), "_g").select(needle_id, text_id)
+    # short ones, by the words that contain their longest piece
+    by_size = F.array_sort(F.transform("_w", lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x"))))
+    short = n.where((F.size("_w") > 0) & (F.size("_w") < gram + 2)).withColumn("_p", by_size[0]["x"])
+    short = short.select(needle_id, "_p", F.substring("_p", 1, 3).alias("_k"))
+    posted = t.select(text_id, F.explode(F.array_distinct(words)).alias("_word"))
+    starts = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("_word") - (k - 1))), lambda i: F.substring(F.col("_word"), i, F.lit(k)))
+    vocabulary = posted.select("_word").distinct().select("_word", F.explode(F.array_distinct(F.concat(*[starts(k) for k in (1, 2, 3)]))).alias("_k"))
+    with_piece = vocabulary.join(short, "_k").where(F.col("_word").contains(F.col("_p"))).select(needle_id, "_word")
+    hits = hits.unionByName(posted.join(with_piece, "_word").select(needle_id, text_id)).distinct()
+    return hits.join(n.select(needle_id, "_n"), needle_id).join(t, text_id).where(F.col("_t").contains(F.col("_n"))).select(needle_id, text_id)
 
 
 def band_join(left: DataFrame, x: str, right: DataFrame, y: str, width: float, keep: Column | None = None) -> DataFrame:
@@ -52,24 +60,24 @@ def nearest(left: DataFrame, left_id: str, x: str, right: DataFrame, right_id: s
     return got.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def interpolate(points: DataFrame, key: str, at: str, value: str, probes: DataFrame, probe_at: str) -> DataFrame:
+def interpolate(points: DataFrame, key: str, at: str, value: str, probes: DataFrame, probe_at: str, width: float) -> DataFrame:
     """As-of join on both sides: linear interpolation between the bracketing points, clamped at the ends.
 
-    points has one row for each (key, at). Probes and points are sorted together by key; no pair is made.
+    points has one row for each (key, at). Probes and points are sorted together inside cells of ``width`` along ``at``;
+    a cell's neighbours are known by their first and last points only, so no task sorts a key and no pair is made.
     """
     p = points.select(key, F.col(at).cast("double").alias("_at"), F.col(value).cast("double").alias("_v"), F.lit(0).alias("_probe"))
     q = probes.select(key, F.col(probe_at).cast("double").alias("_at"), F.lit(None).cast("double").alias("_v"), F.lit(1).alias("_probe"))
-    both = p.unionByName(q)
-    is_point = lambda c: F.when(F.col("_probe") == 0, F.col(c))
-    back = Window.partitionBy(key).orderBy("_at", "_probe").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(key).orderBy("_at", F.desc("_probe")).rowsBetween(0, Window.unboundedFollowing)
-    for name, c in (("x0", "_at"), ("y0", "_v")):
-        both = both.withColumn(name, F.last(is_point(c), True).over(back))
-    for name, c in (("x1", "_at"), ("y1", "_v")):
-        both = both.withColumn(name, F.first(is_point(c), True).over(ahead))
-    t = (F.col("_at") - F.col("x0")) / (F.col("x1") - F.col("x0"))
-    v = F.when(F.col("x0").isNull(), F.col("y1")).when(F.col("x1").isNull() | (F.col("x1") == F.col("x0")), F.col("y0")).otherwise(F.col("y0") + t * (F.col("y1") - F.col("y0")))
-    return both.where("_probe = 1").select(key, F.col("_at").alias(probe_at), v.alias(value))
+    both = p.unionByName(q).withColumn("_cell", F.floor(F.col("_at") / width)).withColumn("_p", F.when(F.col("_probe") == 0, F.struct(F.col("_at").alias("x"), F.col("_v").alias("y"))))
+    ends = both.groupBy(key, "_cell").agg(F.min("_p").alias("_first"), F.max("_p").alias("_last"))
+    cells = lambda o: Window.partitionBy(key).orderBy(o).rowsBetween(Window.unboundedPreceding, -1)  # noqa: E731  one row a cell
+    ends = ends.select(key, "_cell", F.last("_last", True).over(cells(F.asc("_cell"))).alias("_left"), F.last("_first", True).over(cells(F.desc("_cell"))).alias("_right"))
+    inside = lambda *o: Window.partitionBy(key, "_cell").orderBy(*o).rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("_a", F.last("_p", True).over(inside(F.asc("_at"), F.asc("_probe")))).withColumn("_z", F.last("_p", True).over(inside(F.desc("_at"), F.asc("_probe"))))
+    both = both.where("_probe = 1").join(ends, [key, "_cell"]).withColumn("_a", F.coalesce("_a", "_left")).withColumn("_z", F.coalesce("_z", "_right"))
+    x0, y0, x1, y1 = F.col("_a.x"), F.col("_a.y"), F.col("_z.x"), F.col("_z.y")
+    v = F.when(x0.isNull(), y1).when(x1.isNull() | (x1 == x0), y0).otherwise(y0 + (F.col("_at") - x0) / (x1 - x0) * (y1 - y0))
+    return both.select(key, F.col("_at").alias(probe_at), v.alias(value))
 
 
 def wrapped_gap(a: Column, b: Column, full: float = 360.0) -> Column:
@@ -86,18 +94,31 @@ def wrapped_band_join(left: DataFrame, x: str, right: DataFrame, y: str, width:
     return a.join(b, "_cell").where(wrapped_gap(F.col(x), F.col(y), full) <= width).drop("_cell")
 
 
-def overlaps(left: DataFrame, left_id: str, right: DataFrame, right_id: str, words: str) -> DataFrame:
-    """Set overlap |A & B| / min(|A|, |B|) of pairs that share a word: left_id, right_id, shared, overlap.
+def overlaps(left: DataFrame, left_id: str, right: DataFrame, right_id: str, words: str, least: float) -> DataFrame:
+    """Set overlap |A & B| / min(|A|, |B|) of pairs from ``least`` on: left_id, right_id, shared, overlap.
 
-    Both sides have an array of distinct words; pairs come from an equi-join on words.
+    Both sides have an array of distinct words. The smaller set of such a pair shares at least one of its rarest words, as
+    many as it can miss and one more; only those are joined with the other side's words, so frequent words make no pairs.
     """
-    a, b = left.select(left_id, F.size(words).alias("_na"), F.explode(words).alias("_w")), right.select(right_id, F.size(words).alias("_nb"), F.explode(words).alias("_w"))
-    g = a.join(b, "_w").groupBy(left_id, right_id).agg(F.count("*").alias("shared"), F.min(F.least("_na", "_nb")).alias("_m"))
-    return g.select(left_id, right_id, "shared", (F.col("shared") / F.col("_m")).alias("overlap"))
+    sides = [(left.select(left_id, F.col(words).alias("_ws")), left_id), (right.select(right_id, F.col(words).alias("_ws")), right_id)]
+    every = [x.select(i, F.size("_ws").alias("_n"), F.explode("_ws").alias("_w")) for x, i in sides]
+    freq = every[0].select("_w").unionByName(every[1].select("_w")).groupBy("_w").agg(F.count("*").alias("_f"))
+
+    def rarest(x: DataFrame, i: str) -> DataFrame:
+        ranked = x.join(freq, "_w").withColumn("_r", F.row_number().over(Window.partitionBy(i).orderBy("_f", "_w")))
+        return ranked.where(F.col("_r") <= F.col("_n") - F.ceil(F.col("_n") * least - 1e-9) + 1).select(i, "_w")
+
+    a, b = every
+    pairs = rarest(a, left_id).join(b.select(right_id, "_w"), "_w").select(left_id, right_id)
+    pairs = pairs.unionByName(a.select(left_id, "_w").join(rarest(b, right_id), "_w").select(left_id, right_id)).distinct()
+    got = pairs.join(sides[0][0].withColumnRenamed("_ws", "_a"), left_id).join(sides[1][0].withColumnRenamed("_ws", "_b"), right_id)
+    got = got.withColumn("shared", F.size(F.array_intersect("_a", "_b")).cast("long")).withColumn("overlap", F.col("shared") / F.least(F.size("_a"), F.size("_b")))
+    return got.where(F.col("overlap") >= least).select(left_id, right_id, "shared", "overlap")
 
 
 def best_match(pairs: DataFrame, key: str, other: str, score: str, least: float, margin: float) -> DataFrame:
-    """The best pair of each key when it reaches ``least`` and leads the runner-up by ``margin``."""
+    """The best pair of each key when it reaches ``least`` and leads the runner-up by ``margin``: pairs below least - margin
+    may be absent."""
     w = Window.partitionBy(key).orderBy(F.desc(score), other)
     top = pairs.withColumn("_n", F.row_number().over(w)).where("_n <= 2").withColumn("_next", F.lead(score).over(w))
     return top.where((F.col("_n") == 1) & (F.col(score) >= least) & (F.col(score) - F.coalesce("_next", F.lit(0.0)) >= margin)).drop("_n", "_next")

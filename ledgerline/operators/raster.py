@@ -1,16 +1,13 @@
-"""Raster chains on cells (image, y, x, value): restore (flatten, threshold, despeckle), polar maps, ridges, spirals, sectors."""
+"""Raster chain on cells (image, y, x, value): flatten, threshold, despeckle."""
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.operators import grids as H
 from ledgerline.operators.series import closing_2d
 
-ANGLES = 1440
-
 
 def restore(cells: DataFrame, image: list[str], y: str, x: str, value: str, window: int = 101, speckle: int = 8, drop_border: bool = False) -> DataFrame:
     """Background by closing, division, one Otsu threshold per image, ink strictly below it, components larger than ``speckle``.
@@ -32,125 +29,3 @@ def restore(cells: DataFrame, image: list[str], y: str, x: str, value: str, wind
         sizes = sizes.join(edge, image).where("x0 > _nx and y0 > _ny and x1 <= _mx and y1 <= _my").drop("_mx", "_my", "_nx", "_ny")
     kept = sizes.where(F.col("cells") > speckle).select(*image, "comp", "cells")
     return runs.join(kept, [*image, "comp"]).join(cut, image).select(*image, y, "a", "z", "comp", "cells", "threshold")
-
-
-# ---- one image in a worker (for applyInPandas over an image key)
-
-
-def polar_map(mask: np.ndarray, cx: float, cy: float, rmax: int, angles: int = ANGLES) -> np.ndarray:
-    """[radius - 1, angle] by bilinear sampling, radii 1 to rmax; clamped at the border."""
-    r, t = np.arange(1, rmax + 1.0)[:, None], np.arange(angles)[None, :] * (2 * np.pi / angles)
-    px, py = np.clip(cx + r * np.cos(t), 0, mask.shape[1] - 2), np.clip(cy + r * np.sin(t), 0, mask.shape[0] - 2)
-    ix, iy = px.astype(int), py.astype(int)
-    dx, dy = px - ix, py - iy
-    top = mask[iy, ix] * (1 - dx) + mask[iy, ix + 1] * dx
-    low = mask[iy + 1, ix] * (1 - dx) + mask[iy + 1, ix + 1] * dx
-    return top * (1 - dy) + low * dy
-
-
-def ridges(polar: np.ndarray, least: float = 0.5) -> list[np.ndarray]:
-    """Radii of the local maxima of each angle, to a fraction of a pixel."""
-    mid = polar[1:-1]
-    top = (mid >= polar[:-2]) & (mid >= polar[2:]) & (mid >= least)
-    bend = polar[:-2] - 2 * mid + polar[2:]
-    off = np.where(np.abs(bend) > 1e-9, 0.5 * (polar[:-2] - polar[2:]) / np.where(bend == 0, 1, bend), 0.0)
-    radius = np.arange(1, len(polar) - 1)[:, None] + np.clip(off, -0.6, 0.6) + 1.0
-    return [radius[top[:, j], j] for j in range(polar.shape[1])]
-
-
-def track_ring(columns: list[np.ndarray], radius: float, half: float = 6.0) -> np.ndarray:
-    """Deviation from a nominal radius of the nearest ridge of each angle within ``half``; NaN where there is none."""
-    out = np.full(len(columns), np.nan)
-    for j, c in enumerate(columns):
-        near = c[np.abs(c - radius) <= half]
-        if len(near):
-            out[j] = near[np.argmin(np.abs(near - radius))] - radius
-    return out
-
-
-def longest_gap(present: np.ndarray) -> float:
-    """Degrees of the longest run of absent angles on the circle."""
-    at = np.flatnonzero(present)
-    if not len(at):
-        return 360.0
-    return float((np.diff(np.append(at, at[0] + len(present))) - 1).max() * 360.0 / len(present))
-
-
-def ring(columns: list[np.ndarray], radius: float) -> dict:
-    """Coverage, longest gap, jitter and pitch of the ring near a radius."""
-    dev = track_ring(columns, radius)
-    here = np.isfinite(dev)
-    at = np.flatnonzero(here)
-    pitch = float(np.polyfit(at, dev[here], 1)[0] * len(columns)) if len(at) > 1 else 0.0
-    return {"coverage": float(here.mean()), "gap_deg": longest_gap(here), "rms": float(np.sqrt(np.mean(dev[here] ** 2))) if here.any() else np.nan, "pitch": pitch}
-
-
-def stroke_width(polar: np.ndarray, radius: float, dev: np.ndarray) -> float:
-    """Median ink width across the tracked angles, each measured from its inkiest row near the track."""
-    widths = []
-    for j in np.flatnonzero(np.isfinite(dev)):
-        base = round(radius + dev[j]) - 1
-        rows = [i for i in (base - 1, base, base + 1) if 0 < i < len(polar) - 1]
-        if not rows:
-            continue
-        i = rows[int(np.argmax(polar[rows, j]))]
-        if polar[i, j] <= 0.5:
-            continue
-        ink = polar[:, j] > 0.5
-        below, above = np.flatnonzero(~ink[: i + 1]), np.flatnonzero(~ink[i:])
-        lo = below[-1] if len(below) else 0
-        hi = i + above[0] if len(above) else len(polar) - 1
-        widths.append(hi - lo - 1)
-    return float(np.median(widths)) if widths else 0.0
-
-
-def follow_spiral(columns: list[np.ndarray], start: int, radius: float, slope: float, low: float, high: float, window: float = 4.0, coast: int = 80, turns: int = 9) -> list[tuple[int, float]]:
-    """(step, radius) both ways from a seed: the ridge nearest to the prediction, the slope averaged in at 0.15."""
-    n = len(columns)
-
-    def one_way(sign: int) -> list[tuple[int, float]]:
-        path, rate, at, last = [], slope * sign, radius, 0
-        for step in range(1, turns * n):
-            guess = at + rate * (step - last)
-            if step - last > coast or not low <= guess <= high:
-                break
-            c = columns[(start + sign * step) % n]
-            if len(c) and abs((best := c[np.argmin(np.abs(c - guess))]) - guess) <= window:
-                rate = 0.85 * rate + 0.15 * (best - at) / (step - last)
-                path.append((sign * step, float(best)))
-                at, last = float(best), step
-        return path
-
-    return one_way(-1)[::-1] + [(0, radius)] + one_way(1)
-
-
-def sectors(polar: np.ndarray, inner: int, outer: int, least: float = 0.38, near: int = 4) -> list[dict]:
-    """Radial dividers: groups of angles whose ink fills a share of the band, with weighted centres."""
-    n = polar.shape[1]
-    band = polar[max(0, inner) : min(len(polar), outer)] > 0.5
-    full = band.mean(0)
-    at = np.flatnonzero(full >= least * 0.85)
-    groups = np.split(at, np.flatnonzero(np.diff(at) > near) + 1) if len(at) else []
-    if len(groups) > 1 and n - groups[-1][-1] + groups[0][0] <= near:
-        groups[0] = np.concatenate([groups.pop(), groups[0]])
-    out = []
-    for g in groups:
-        w = full[g]
-        if w.max() < least:
-            continue
-        a = np.where(g < n / 2, g + n, g) if g.max() - g.min() > n / 2 else g
-        rows = [np.flatnonzero(band[:, j]) for j in g]
-        rows = [r for r in rows if len(r)]
-        out.append({"angle_deg": round(float((a * w).sum() / w.sum() % n) * 360 / n, 2) % 360, "occupancy": round(float(w.max()), 2), "r_inner": float(np.median([r[0] for r in rows]) + max(0, inner) + 1), "r_outer": float(np.median([r[-1] for r in rows]) + max(0, inner) + 1)})
-    return sorted(out, key=lambda s: s["angle_deg"])
-
-
-def best_offset(profile: np.ndarray, samples: np.ndarray, reach: float = 12.0, step: float = 0.25) -> tuple[float, float]:
-    """Shift of ``samples`` (places) with the largest sum of the profile, refined by a parabola; and that sum."""
-    shifts = np.arange(-reach, reach + step / 2, step)
-    score = np.array([np.interp(samples + s, np.arange(len(profile)), profile).sum() for s in shifts])
-    k = int(np.argmax(score))
-    off = 0.0
-    if 0 < k < len(score) - 1 and abs(bend := score[k - 1] - 2 * score[k] + score[k + 1]) > 1e-9:
-        off = 0.5 * (score[k - 1] - score[k + 1]) / bend
-    return float(shifts[k] + np.clip(off, -1, 1) * step), float(score[k])

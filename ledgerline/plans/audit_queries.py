@@ -361,9 +361,9 @@ def offset_segments(spark, d):
     page = (k - F.when(k < 500, 18).otherwise(20)).cast("string")
     label = F.when(k % 7 == 0, F.concat(F.lit("["), page, F.lit("]"))).when(k % 11 == 0, "none").otherwise(page)
     g = o.select(k.alias("i"), X.folio(label).alias("page")).where("page is not null").withColumn("off", F.col("i") - F.col("page"))
-    from ledgerline.operators.series import islands
+    from ledgerline.operators.series import numbered_islands
 
-    t = islands(g, "i", lambda w: F.lag("off").over(w).isNull() | (F.lag("off").over(w) != F.col("off")), "segment")
+    t = numbered_islands(g, [], ["i"], F.expr("i div 100000"), lambda w: F.lag("off").over(w).isNull() | (F.lag("off").over(w) != F.col("off")), "segment")
     return t.groupBy("segment", F.col("off").alias("page_offset")).agg(F.min("i").alias("first_index"), F.max("i").alias("last_index"), F.count("*").alias("pages"))
 
 

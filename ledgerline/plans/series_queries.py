@@ -8,6 +8,7 @@ from ledgerline.functions.time import seconds
 from ledgerline.operators import greedy as G
 from ledgerline.operators import grids as H
 from ledgerline.operators import joins as J
+from ledgerline.operators import ranks as R
 from ledgerline.operators import series as S
 from ledgerline.sources.tables import table
 
@@ -25,9 +26,14 @@ def query(sql=None):
     return add
 
 
+def _hour():
+    """Cells along the order of events."""
+    return F.date_trunc("hour", "ts")
+
+
 @query("SELECT event_id, round(avg(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING),6) AS smooth FROM events")
 def smooth_series(spark, d):
-    return S.smooth(table(spark, d, "events"), ["event_type"], ["ts", "event_id"], "value", 21, "smooth").select("event_id", F.round("smooth", 6).alias("smooth"))
+    return S.smooth(table(spark, d, "events"), ["event_type"], ["ts", "event_id"], "value", 21, "smooth", _hour()).select("event_id", F.round("smooth", 6).alias("smooth"))
 
 
 @query("""
@@ -35,7 +41,7 @@ WITH m AS (SELECT event_id, event_type, ts, max(value) OVER (PARTITION BY event_
 SELECT event_id, min(mx) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS closed FROM m
 """)
 def sliding_close(spark, d):
-    return S.closing(table(spark, d, "events"), ["event_type"], ["ts", "event_id"], "value", 5, "closed").select("event_id", "closed")
+    return S.closing(table(spark, d, "events"), ["event_type"], ["ts", "event_id"], "value", 5, "closed", _hour()).select("event_id", "closed")
 
 
 _DAYS = "WITH dd AS (SELECT event_type, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS BIGINT) AS day, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1,2)"
@@ -138,7 +144,7 @@ SELECT event_type, CAST(t AS DOUBLE) AS t, round(CASE WHEN x0 IS NULL THEN y1 WH
 def interpolate_asof(spark, d):
     e = table(spark, d, "events").groupBy("event_type", (seconds(F.col("ts"))).alias("t")).agg(F.avg("value").alias("value"))
     q = e.select("event_type").distinct().select("event_type", F.explode(F.sequence(F.lit(0), F.lit(719))).alias("i")).select("event_type", (F.lit(1704067200.0) + F.col("i") * 3600.0).alias("t"))
-    return J.interpolate(e, "event_type", "t", "value", q, "t").select("event_type", "t", F.round("value", 4).alias("value"))
+    return J.interpolate(e, "event_type", "t", "value", q, "t", 3600.0).select("event_type", "t", F.round("value", 4).alias("value"))
 
 
 @query("""
@@ -157,31 +163,29 @@ SELECT l_returnflag, CAST(count_if(l_quantity<10) AS BIGINT) AS ink, round(count
 """)
 def threshold_mask_stats(spark, d):
     ink = F.col("l_quantity") < 10
-    g = table(spark, d, "lineitem").groupBy("l_returnflag")
-    return g.agg(F.count_if(ink).alias("ink"), F.round(F.count_if(ink) / F.count("*"), 6).alias("fraction"), F.round(F.percentile("l_extendedprice", 0.9), 4).alias("p90"))
+    li = table(spark, d, "lineitem")
+    g = li.groupBy("l_returnflag").agg(F.count_if(ink).alias("ink"), F.round(F.count_if(ink) / F.count("*"), 6).alias("fraction"))
+    return g.join(R.quantiles(li, "l_returnflag", "l_extendedprice", {"p90": 0.9}), "l_returnflag").withColumn("p90", F.round("p90", 4))
 
 
 @query("""
 SELECT l_returnflag, round(median(l_extendedprice),4) AS median, round(quantile_cont(l_extendedprice,0.95),4) AS p95, round((list(l_extendedprice ORDER BY l_extendedprice))[CAST(count(*)//2 AS BIGINT)+1],4) AS upper_median FROM lineitem GROUP BY 1
 """)
 def median_variants(spark, d):
-    """The upper median is the value at rank n div 2 (from 0) by a row number in fine price cells, not a collected list."""
-    li = table(spark, d, "lineitem").select("l_returnflag", F.col("l_extendedprice").alias("v"))
-    from ledgerline.operators.ranks import value_at_rank
-
-    upper = value_at_rank(li, "l_returnflag", "v", lambda n: F.floor(n / 2), "upper_median")
-    g = li.groupBy("l_returnflag").agg(F.round(F.median("v"), 4).alias("median"), F.round(F.percentile("v", 0.95), 4).alias("p95"))
-    return g.join(upper, "l_returnflag").select("l_returnflag", "median", "p95", F.round("upper_median", 4).alias("upper_median"))
+    """The upper median is the value at rank n div 2 (from 0)."""
+    got = R.quantiles(table(spark, d, "lineitem"), "l_returnflag", "l_extendedprice", {"median": 0.5, "p95": 0.95}, {"upper_median": 0.5})
+    return got.select("l_returnflag", *[F.round(c, 4).alias(c) for c in ("median", "p95", "upper_median")])
 
 
 @query("""
-WITH p AS (SELECT p_partkey, p_retailprice AS u FROM part), c AS (SELECT l_orderkey*10+l_linenumber AS cid, l_extendedprice/10 AS x, l_quantity AS a FROM lineitem WHERE l_linenumber=1),
+WITH p AS (SELECT p_partkey, p_retailprice AS u FROM part), c AS (SELECT row_number() OVER () AS cid, l_extendedprice/10 AS x, l_quantity AS a FROM lineitem ),
 j AS (SELECT cid, a, x, p_partkey, u, row_number() OVER (PARTITION BY cid ORDER BY abs(x-u), p_partkey DESC) AS n FROM c JOIN p ON abs(x-u)<=7)
 SELECT p_partkey, CAST(count(*) AS BIGINT) AS hits, round(sum(x*a)/sum(a),6) AS position FROM j WHERE n=1 GROUP BY 1 HAVING count(*)>=2 AND sum(a)>=20
 """)
 def snap_nearest(spark, d):
     p = table(spark, d, "part").select("p_partkey", F.col("p_retailprice").alias("u"))
-    c = table(spark, d, "lineitem").where("l_linenumber = 1").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("cid"), (F.col("l_extendedprice") / 10).alias("x"), F.col("l_quantity").alias("a"))
+    # an order may have a line number twice: a row is known by all its columns
+    c = table(spark, d, "lineitem").withColumn("cid", F.struct("*")).select("cid", (F.col("l_extendedprice") / 10).alias("x"), F.col("l_quantity").alias("a"))
     g = J.nearest(c, "cid", "x", p, "p_partkey", "u", 7.0).groupBy("p_partkey")
     g = g.agg(F.count("*").alias("hits"), F.sum("a").alias("area"), F.round(F.sum(F.col("x") * F.col("a")) / F.sum("a"), 6).alias("position"))
     return g.where("hits >= 2 and area >= 20").drop("area")
@@ -211,7 +215,9 @@ SELECT variant, CAST(ink AS BIGINT) AS ink, round(med,4) AS median, round(p90,4)
 def sweep_select(spark, d):
     li = table(spark, d, "lineitem").select("l_quantity", F.col("l_extendedprice").alias("v"), F.explode(F.array(*[F.lit(k) for k in range(5, 50, 5)])).alias("variant"))
     inked = F.when(F.col("l_quantity") < F.col("variant"), F.col("v"))
-    m = li.groupBy("variant").agg(F.count(inked).alias("ink"), F.round(F.median(inked), 4).alias("median"), F.round(F.percentile(inked, 0.9), 4).alias("p90"), F.count("*").alias("all"))
+    m = li.groupBy("variant").agg(F.count(inked).alias("ink"), F.count("*").alias("all"))
+    q = R.quantiles(li.select("variant", inked.alias("v")), "variant", "v", {"median": 0.5, "p90": 0.9})
+    m = m.join(q, "variant", "left").withColumns({c: F.round(c, 4) for c in ("median", "p90")})
     from pyspark.sql import Window
 
     first = F.row_number().over(Window.orderBy(F.abs(F.col("ink") - F.col("all") / 2), "variant"))  # one row a variant
@@ -260,21 +266,40 @@ def monotonic_guard(spark, d):
     return G.guard(e, "user_id", "event_id", "ts", "value")
 
 
-@query()
+_STRAND = """
+WITH o AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)-1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+s AS (SELECT user_id, i, (i*10.0 + CASE WHEN i>=n/2.0 AND user_id%3=0 THEN 20.0 ELSE 0.0 END) AS t, 100.0+i*2.0 - CASE WHEN i>=n/2.0 AND user_id%3=0 THEN 68.0 ELSE 0.0 END AS r FROM o),
+a AS (SELECT user_id, i, t - floor(t/360)*360 AS theta, r FROM s),
+b AS (SELECT *, CASE WHEN theta < lag(theta) OVER w - 180 THEN 360.0 ELSE 0.0 END AS drop_ FROM a WINDOW w AS (PARTITION BY user_id ORDER BY i)),
+u AS (SELECT user_id, i, theta + sum(drop_) OVER (PARTITION BY user_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS u, r FROM b),
+p AS (SELECT *, row_number() OVER w AS k, u - lag(u) OVER w AS du, abs(r - lag(r) OVER w) AS dr, lag(u) OVER w AS end_ FROM u WINDOW w AS (PARTITION BY user_id ORDER BY u, i)),
+m AS (SELECT user_id, u, avg(r) AS r FROM u GROUP BY 1,2),
+z AS (SELECT p.user_id, p.k, p.u-360 AS t, p.r, m.u AS x0, m.r AS y0 FROM p ASOF JOIN m ON p.user_id=m.user_id AND p.u-360>=m.u),
+y AS (SELECT z.*, m.u AS x1, m.r AS y1 FROM z ASOF JOIN m ON z.user_id=m.user_id AND z.t<=m.u),
+f AS (SELECT user_id, k, t, abs(r - CASE WHEN x1=x0 THEN y0 ELSE y0+(t-x0)/(x1-x0)*(y1-y0) END) AS off FROM y),
+c AS (SELECT p.user_id, p.k, count(*) AS n, list(f.off ORDER BY f.off) AS offs FROM p JOIN f ON p.user_id=f.user_id AND f.k>=p.k AND f.t<=p.end_ WHERE p.dr>60 AND p.du>10 GROUP BY 1,2),
+q AS (SELECT user_id, min(k) AS at FROM c WHERE offs[n//2+1]<30 GROUP BY 1),
+v AS (SELECT p.user_id, p.u - CASE WHEN p.k>=q.at THEN 360 ELSE 0 END AS u, p.r FROM p LEFT JOIN q USING (user_id)),
+g AS (SELECT user_id, u, avg(r) AS r FROM v GROUP BY 1,2),
+h AS (SELECT *, CASE WHEN lag(u) OVER w IS NULL OR abs(r-lag(r) OVER w)>40 OR u-lag(u) OVER w>15 THEN 1 ELSE 0 END AS new_ FROM g WINDOW w AS (PARTITION BY user_id ORDER BY u)),
+e AS (SELECT *, CAST(sum(new_) OVER (PARTITION BY user_id ORDER BY u ROWS UNBOUNDED PRECEDING) AS BIGINT) AS segment FROM h),
+w AS (SELECT *, avg(r) OVER (PARTITION BY user_id, segment ORDER BY u ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING) AS smooth, count(*) OVER (PARTITION BY user_id, segment) AS size FROM e)
+SELECT user_id, round(u,6) AS u, round(r,6) AS r, round(smooth,6) AS smooth, segment FROM w WHERE size>=3
+"""
+
+
+@query(_STRAND)
 def turn_repair(spark, d):
-    """A spiral a user: radius grows with the event's order, and the tail of every third one re-traces the head."""
-    import pandas as pd
+    """A spiral a user: the radius grows with the event's order, and the tail of every third one re-traces the head.
+
+    Unwrapped, then the tail behind the first jump that re-traces the head a turn earlier goes back a turn; points of one
+    angle become one; what is left is split at jumps and smoothed.
+    """
     from pyspark.sql import Window
 
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = table(spark, d, "events").select("user_id", (F.row_number().over(w) - 1).alias("i"), F.count("*").over(Window.partitionBy("user_id")).alias("n"))
     late = (F.col("i") >= F.col("n") / 2) & (F.col("user_id") % 3 == 0)
     theta = F.pmod(F.col("i") * 10.0 + F.when(late, 20.0).otherwise(0.0), F.lit(360.0))
-    r = 100.0 + F.col("i") * 2.0 - F.when(late, 68.0).otherwise(0.0)
-
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        out = S.strand(pdf["theta"].to_numpy(), pdf["r"].to_numpy())
-        return out.assign(user_id=pdf["user_id"].iloc[0])[["user_id", "u", "r", "smooth", "segment"]]
-
-    return S.per_series(e.select("user_id", "i", theta.alias("theta"), r.alias("r")), ["user_id"], scan, "user_id long, u double, r double, smooth double, segment long")
+    e = e.select("user_id", "i", theta.alias("theta"), (100.0 + F.col("i") * 2.0 - F.when(late, 68.0).otherwise(0.0)).alias("r"))
+    return S.repaired_strand(e, "user_id", "i", "theta", "r").select("user_id", *[F.round(c, 6).alias(c) for c in ("u", "r", "smooth")], "segment")

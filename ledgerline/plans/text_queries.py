@@ -66,7 +66,7 @@ SELECT doc_id, item_id, shared, round(ov,6) AS overlap FROM r WHERE n=1 AND ov>=
 def page_correspondence(spark, d):
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)))
     docs, items = (table(spark, d, t).select(k, words.alias("words")) for t, k in (("documents", "doc_id"), ("benchmark", "item_id")))
-    pairs = J.overlaps(docs, "doc_id", items, "item_id", "words")
+    pairs = J.overlaps(docs, "doc_id", items, "item_id", "words", 0.7 - 0.15)
     return J.best_match(pairs, "doc_id", "item_id", "overlap", 0.7, 0.15).select("doc_id", "item_id", "shared", F.round("overlap", 6).alias("overlap"))
 
 
@@ -81,19 +81,19 @@ def fragment_inventory(spark, d):
 
 
 @query(r"""
-SELECT doc_id, regexp_replace(regexp_replace(replace(lower(regexp_replace(substr(text,1,40),'<[^>]+>','','g')),'&amp;','and'),'[^a-z0-9]+','-','g'),'^-+|-+$','','g') AS slug,
- replace(replace(replace(replace(replace(substr(text,1,40),'&','&amp;'),'<','&lt;'),'>','&gt;'),'"','&quot;'),'''','&#x27;') AS escaped FROM documents
+SELECT doc_id, regexp_replace(regexp_replace(replace(lower(regexp_replace(text,'<[^>]+>','','g')),'&amp;','and'),'[^a-z0-9]+','-','g'),'^-+|-+$','','g') AS slug,
+ replace(replace(replace(replace(replace(text,'&','&amp;'),'<','&lt;'),'>','&gt;'),'"','&quot;'),'''','&#x27;') AS escaped FROM documents
 """)
 def slug_escape(spark, d):
-    head = F.substring("text", 1, 40)
-    return table(spark, d, "documents").select("doc_id", X.slug(head).alias("slug"), X.escape_html(head).alias("escaped"))
+    return table(spark, d, "documents").select("doc_id", X.slug(F.col("text")).alias("slug"), X.escape_html(F.col("text")).alias("escaped"))
 
 
 @query()
 def markdown_render(spark, d):
-    from ledgerline.functions.markdown import markdown_html
+    from ledgerline.functions.markdown import markdown_html, with_heading_ids
 
-    return table(spark, d, "documents").select("doc_id", markdown_html("text").alias("html"))
+    html = table(spark, d, "documents").select("doc_id", markdown_html("text").alias("html"))
+    return html.select("doc_id", with_heading_ids(F.col("html")).alias("html"))
 
 
 @query(r"""

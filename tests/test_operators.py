@@ -7,7 +7,6 @@ from ledgerline.functions.markdown import render
 from ledgerline.operators import audit as A
 from ledgerline.operators import grids as H
 from ledgerline.operators import joins as J
-from ledgerline.operators import raster as R
 from ledgerline.operators import series as S
 from ledgerline.operators import validate as V
 from ledgerline.sources import sinks, tables
@@ -121,26 +120,8 @@ def test_series():
     assert tier.tolist() == [0, 1, 1] and forced.tolist() == [False, False, True]
 
 
-def test_geometry():
-    yy, xx = np.mgrid[0:200, 0:200]
-    d = np.hypot(xx - 100, yy - 100)
-    mask = (np.abs(d - 60) < 2).astype(float)
-    polar = R.polar_map(mask, 100, 100, 90, 360)
-    ring = R.ring(R.ridges(polar), 60)
-    assert ring["coverage"] > 0.95 and ring["rms"] < 1 and abs(ring["pitch"]) < 0.5
-    assert 3 <= R.stroke_width(polar, 60, R.track_ring(R.ridges(polar), 60)) <= 5
-    assert R.longest_gap(np.array([True, False, False, True])) == 180.0 and R.longest_gap(np.ones(4, bool)) == 0 and R.longest_gap(np.zeros(4, bool)) == 360
-    spokes = np.zeros((50, 360))
-    spokes[5:45, [0, 1, 359, 90]] = 1
-    assert [s["angle_deg"] for s in R.sectors(spokes, 0, 50)] == [0.0, 90.0]
-    columns = [np.array([100 - 0.1 * j]) for j in range(360)]
-    assert len(R.follow_spiral(columns, 0, 100.0, -0.1, 50, 110)) >= 300
-    profile = np.exp(-((np.arange(100) - 50.0) ** 2) / 4)
-    assert abs(R.best_offset(profile, np.array([47.0]))[0] - 3) < 0.1
-
-
 def test_markdown():
-    assert render("# A & B\n\ntext **b** `x<y`\n\n- a\n  - b\n- c") == '<h1 id="a-and-b">A &amp; B</h1>\n<p>text <strong>b</strong> <code>x&lt;y</code></p>\n<ul><li>a<ul><li>b</li></ul></li><li>c</li></ul>'
+    assert render("# A & B\n\ntext **b** `x<y`\n\n- a\n  - b\n- c") == '<h1>A &amp; B</h1>\n<p>text <strong>b</strong> <code>x&lt;y</code></p>\n<ul><li>a<ul><li>b</li></ul></li><li>c</li></ul>'
     assert render("| a | b |\n|---|---|\n| 1 | 2 |") == "<table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>2</td></tr></table>"
     assert render(None) is None and render("") == ""
 
