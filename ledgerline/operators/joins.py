@@ -43,6 +43,14 @@ def contained_in(needles: DataFrame, needle_id: str, needle: str, texts: DataFra
     return hits.join(n.select(needle_id, "_n"), needle_id).join(t, text_id).where(F.col("_t").contains(F.col("_n"))).select(needle_id, text_id)
 
 
+def mandatory(left: DataFrame, key: str, right: DataFrame, right_key: str) -> DataFrame:
+    """Inner join in which every left row must find a partner: a row that has none raises an error with its key."""
+    found = right.withColumn("_found", F.lit(True))
+    got = left.join(found, left[key] == found[right_key], "left")
+    missing = F.raise_error(F.concat(F.lit(f"no {right_key} for {key} "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    return got.withColumn("_found", F.when(F.col("_found"), F.lit(True)).otherwise(missing.cast("boolean"))).where("_found").drop("_found")
+
+
 def band_join(left: DataFrame, x: str, right: DataFrame, y: str, width: float, keep: Column | None = None) -> DataFrame:
     """Inner join on abs(x - y) <= width (or ``keep``): both sides are dealt into cells of that width, the right one into
     its own and both neighbouring cells, and joined on the cell."""

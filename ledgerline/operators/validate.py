@@ -41,6 +41,11 @@ def refers(df: DataFrame, check: str, key: str, column: str, to: DataFrame, to_c
     return violations(got, check, key, F.lit(True), F.concat(F.lit(f"unknown {column} "), F.col(column).cast("string")))
 
 
+def agrees(df: DataFrame, check: str, key: str, own: str, want: str, message: Column) -> DataFrame:
+    """Two columns must be equal where the first is given."""
+    return violations(df, check, key, F.col(own).isNotNull() & ~F.col(own).eqNullSafe(F.col(want)), message)
+
+
 def both_ways(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Full outer join of distinct keys: key and side (left_only, right_only) of those without a partner."""
     a, b = left.select(key).distinct().withColumn("l", F.lit(1)), right.select(key).distinct().withColumn("r", F.lit(1))
@@ -64,51 +69,40 @@ def json_violations(value: Column, kind: str, minimum: int | None = None, maximu
     return checks
 
 
+_KINDS = {"integer": "^BIGINT", "number": "^(BIGINT|DECIMAL|DOUBLE|FLOAT)", "string": "^STRING", "boolean": "^BOOLEAN", "array": "^ARRAY", "object": "^OBJECT"}
+
+
+def _checks(schema: dict, node: dict, path: str) -> list:
+    """(message, predicate of a variant that is true where the node fails), children included."""
+    while "$ref" in node:
+        node = reduce(lambda at, part: at[part], node["$ref"].lstrip("#/").split("/"), schema)
+    text = lambda v: F.coalesce(v.cast("string"), F.lit(""))
+    member = lambda v, name: F.try_variant_get(v, f"$.{name}", "variant")
+    out = []
+    if "type" in node:
+        out.append((f"{path}: type", lambda v: ~F.coalesce(F.schema_of_variant(v), F.lit("VOID")).rlike(_KINDS[node["type"]])))
+    if "enum" in node:
+        out.append((f"{path}: enum", lambda v: ~text(v).isin(*map(str, node["enum"]))))
+    if "const" in node:
+        out.append((f"{path}: const", lambda v: text(v) != str(node["const"])))
+    if "pattern" in node:
+        out.append((f"{path}: pattern", lambda v: ~text(v).rlike(node["pattern"])))
+    out += [(f"{path}: required {name}", lambda v, name=name: member(v, name).isNull()) for name in node.get("required", [])]
+    for name, child in node.get("properties", {}).items():
+        out += [(message, lambda v, name=name, bad=bad: member(v, name).isNotNull() & bad(member(v, name))) for message, bad in _checks(schema, child, f"{path}.{name}")]
+    if "items" in node:
+        items = lambda v: F.try_variant_get(v, "$", "array<variant>")
+        out += [(message, lambda v, bad=bad: F.coalesce(F.exists(items(v), lambda x: bad(x)), F.lit(False))) for message, bad in _checks(schema, node["items"], f"{path}[]")]
+    return out
+
+
 def schema_violations(df: DataFrame, key: str, root: str, schema: dict) -> DataFrame:
     """A JSON Schema subset ($ref, type, enum, const, pattern, required, properties, items) over a JSON text column.
 
-    The schema is resolved when the plan is built; each node becomes one column predicate over a variant path.
+    The schema is resolved when the plan is built; each rule becomes one predicate over a variant path, those of items
+    one over all items. An absent member breaks no rule but ``required``.
     """
-    frames: list[Column] = []
-
-    def walk(node: dict, value: Column, path: str, present: Column) -> None:
-        while "$ref" in node:
-            target = schema
-            for part in node["$ref"].lstrip("#/").split("/"):
-                target = target[part]
-            node = target
-        text = value.cast("string")
-        kind = F.schema_of_variant(value)
-        want = {"integer": "^BIGINT", "number": "^(BIGINT|DECIMAL|DOUBLE)", "string": "^STRING", "boolean": "^BOOLEAN", "array": "^ARRAY", "object": "^OBJECT"}
-        note = lambda bad, what: frames.append(F.when(present & bad, F.lit(f"{path}: {what}")))
-        if "type" in node:
-            note(~F.coalesce(kind, F.lit("VOID")).rlike(want[node["type"]]), "type")
-        if "enum" in node:
-            note(~F.coalesce(text, F.lit("")).isin(*map(str, node["enum"])), "enum")
-        if "const" in node:
-            note(F.coalesce(text, F.lit("")) != str(node["const"]), "const")
-        if "pattern" in node:
-            note(~F.coalesce(text, F.lit("")).rlike(node["pattern"]), "pattern")
-        for name in node.get("required", []):
-            note(F.try_variant_get(value, f"$.{name}", "variant").isNull(), f"required {name}")
-        for name, child in node.get("properties", {}).items():
-            at = F.try_variant_get(value, f"$.{name}", "variant")
-            walk(child, at, f"{path}.{name}", present & at.isNotNull())
-        if "items" in node:
-            items = F.try_variant_get(value, "$", "array<variant>")
-            inner = dict(node["items"])
-            while "$ref" in inner:
-                target = schema
-                for part in inner["$ref"].lstrip("#/").split("/"):
-                    target = target[part]
-                inner = target
-            if "type" in inner:
-                note(F.exists(items, lambda x: ~F.coalesce(F.schema_of_variant(x), F.lit("VOID")).rlike(want[inner["type"]])), f"items {inner['type']}")
-            if "enum" in inner:
-                note(F.exists(items, lambda x: ~x.cast("string").isin(*map(str, inner["enum"]))), "items enum")
-
     value = F.try_parse_json(F.col(root))
-    frames.append(F.when(value.isNull(), F.lit("$: no JSON")))
-    walk(schema, value, "$", value.isNotNull())
-    found = df.select(F.col(key).cast("string").alias("entity_key"), F.explode(F.filter(F.array(*frames), lambda x: x.isNotNull())).alias("message"))
+    failed = [F.when(value.isNull(), F.lit("$: no JSON"))] + [F.when(value.isNotNull() & bad(value), F.lit(message)) for message, bad in _checks(schema, schema, "$")]
+    found = df.select(F.col(key).cast("string").alias("entity_key"), F.explode(F.filter(F.array(*failed), lambda x: x.isNotNull())).alias("message"))
     return found.select(F.lit("schema").alias("check_id"), "entity_key", F.lit("error").alias("severity"), "message")

@@ -20,9 +20,9 @@ def markdown_row(cells: list[Column]) -> Column:
     return F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(c, F.lit("")) for c in cells]), F.lit(" |"))
 
 
-def clean_cells(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows with a tab or a line end in a cell: they may not be written unquoted."""
-    return df.where(F.exists(F.array(*columns), lambda c: c.rlike("[\t\r\n]")))
+def clean(c: Column) -> Column:
+    """The cell; one with a tab or a line end may not be written unquoted and raises an error."""
+    return F.when(c.rlike("[\t\r\n]"), F.raise_error(F.concat(F.lit("tab or line end in a cell: "), c))).otherwise(c)
 
 
 def splice(text: Column, header: str, table: Column) -> Column:
@@ -38,6 +38,12 @@ def json_text(columns: list[str], sort_keys: bool = False) -> Column:
     return F.to_json(F.struct(*(sorted(columns) if sort_keys else columns)))
 
 
+def json_pretty(columns: list[str], indent: int = 1) -> Column:
+    """A JSON object with sorted keys, a member a line."""
+    members = [F.concat(F.lit(" " * indent + f'"{c}": '), F.regexp_extract(F.to_json(F.struct(F.col(c).alias("v")), {"ignoreNullFields": "false"}), r"(?s)^\{\"v\":(.*)\}$", 1)) for c in sorted(columns)]
+    return F.concat(F.lit("{\n"), F.concat_ws(",\n", *members), F.lit("\n}"))
+
+
 def write_lines(df: DataFrame, line: str, order: list[str], path: str) -> None:
-    """One text file of the lines in order; ranges are sorted by the cluster, the last step is a single writer."""
-    df.orderBy(*order).select(line).coalesce(1).write.mode("overwrite").text(path)
+    """Text files of the lines, in order across the files (part by part, then line by line): the cluster sorts ranges."""
+    df.orderBy(*order).select(line).write.mode("overwrite").text(path)
