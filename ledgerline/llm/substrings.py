@@ -9,6 +9,7 @@ they cover are removed.
 
 The order comes from prefix doubling: words get exact numbers (by a hash, then confirmed byte by
 byte), and ranks of 1, 2, 4 and 8 words give those of a whole window. Equal ranks are equal words.
+Suffixes whose window hash is alone in their group are leaves of their own and are pruned before.
 
 Suffixes are dealt into memory-sized groups by a variable-length prefix: the least-hashed run of 2
 words in the window, or of 4, 8 or all of them where a first pass over all documents finds the
@@ -50,6 +51,7 @@ LEAST_SHARE = 1 / 65536
 #: Document buckets: pmod(id, PRIME) * SPREAD % PRIME, the same in numpy and in SQL.
 PRIME, SPREAD = 2147483647, 48271
 U = np.uint64
+_ZSTD = pa.Codec("zstd", compression_level=3)
 
 
 def prefix_lengths(window: int) -> list[int]:
@@ -57,9 +59,9 @@ def prefix_lengths(window: int) -> list[int]:
     return [n for k in range(1, 30) if (n := 2**k) < window] + [window]
 
 
-def word_ids(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+def word_ids(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, names: np.ndarray | None = None, block: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of the words, equal for equal bytes and only for them; and the 64-bit hashes that were confirmed."""
-    names = T.hashes(data, starts, ends)
+    names = T.hashes(data, starts, ends) if names is None else names
     _, first, ids = np.unique(names, return_index=True, return_inverse=True)
     lead = first[ids]
     size = ends - starts
@@ -98,6 +100,35 @@ def deep_nodes(rank: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return least[rank]
 
 
+def repeats(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, names: np.ndarray, whole: np.ndarray, doc: np.ndarray, window: int) -> np.ndarray:
+    """Whether each window that starts at ``whole`` stands in a smaller document, too.
+
+    A window whose hash is alone, or in one document only, is a leaf below no deep node and is pruned; the others are
+    put in suffix order on the words themselves.
+    """
+    later = np.zeros(len(whole), bool)
+    if len(whole) < 2:
+        return later
+    h = T.window_hashes(names, window)[whole]
+    order = np.argsort(h)
+    first = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
+    n = np.diff(first, append=len(h))
+    own = doc[order]
+    two = np.repeat(np.minimum.reduceat(own, first) < np.maximum.reduceat(own, first), n)
+    if not two.any():
+        return later
+    some = np.sort(order[two])
+    at = whole[some]
+    edge = np.zeros(len(starts) + 1, np.int64)
+    np.add.at(edge, at, 1)
+    np.add.at(edge, at + window, -1)
+    held = np.cumsum(edge[:-1]) > 0  # words of these windows; each window stays in one piece
+    place = np.cumsum(held) - 1
+    ids, _ = word_ids(data, starts[held], ends[held], names[held])
+    later[some] = doc[some] > deep_nodes(window_ranks(ids, place[at], window), doc[some])
+    return later
+
+
 def _parsed(column: pa.Array, window: int):
     """Bytes, word starts and ends, first word of each row (one more), starts of whole windows, row of each word."""
     data, offsets = T.text_bytes(column)
@@ -166,7 +197,7 @@ def _pack(ids: np.ndarray, place: np.ndarray, texts: list[bytes]) -> bytes:
     body = b"".join(texts)
     head = np.concatenate([np.diff(ids, prepend=0), place, np.array([len(t) for t in texts])]).astype("<i8")
     planes = np.ascontiguousarray(head.view(np.uint8).reshape(-1, 8).T).tobytes()
-    both = pa.compress(planes + body, codec="zstd", asbytes=True)
+    both = _ZSTD.compress(planes + body, asbytes=True)
     return np.array([len(ids), len(body)], "<u4").tobytes() + both
 
 
@@ -215,9 +246,8 @@ def _deal(window: int, frequent: dict[int, np.ndarray], parts: int, buckets: int
             data, starts, ends, first, whole, row = _parsed(batch.column("text"), window)
             if not len(whole):
                 continue
-            numbers, names = word_ids(data, starts, ends)
-            doc = ids[row[whole]]
-            later = doc > deep_nodes(window_ranks(numbers, whole, window), doc)
+            names, doc = T.hashes(data, starts, ends), ids[row[whole]]
+            later = repeats(data, starts, ends, names, whole, doc, window)
             if later.any():
                 place = whole[later] - first[row[whole[later]]]
                 yield _rows([(b, True, x) for b, x in _marks(doc[later], place, buckets)])
@@ -243,12 +273,12 @@ def _found(held: list[tuple[np.ndarray, np.ndarray, pa.Array]], window: int, res
     """Documents and places of the repeats among the suffixes of the stretches held, or of one residue of their windows."""
     ids, place = (np.concatenate([h[k] for h in held]) for k in (0, 1))
     data, starts, ends, first, whole, row = _parsed(pa.concat_arrays([h[2] for h in held]), window)
-    numbers, names = word_ids(data, starts, ends)
+    names = T.hashes(data, starts, ends)
     if residue[1] > 1:
         whole = whole[T.window_hashes(names, window)[whole] % U(residue[1]) == residue[0]]
     at = row[whole]
     doc, where = ids[at], place[at] + whole - first[at]
-    later = doc > deep_nodes(window_ranks(numbers, whole, window), doc)
+    later = repeats(data, starts, ends, names, whole, doc, window)
     return doc[later], where[later]
 
 
