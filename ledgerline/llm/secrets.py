@@ -60,6 +60,7 @@ FDR = 0.05
 BINS, BIN = 400, 0.05  # grid of -log10 p
 MASK = "[SECRET]"
 _BLOCK = 256
+_CHUNK = 16_384  # characters that a mask is put into at once
 
 
 def _spans(pieces: Column, matches: Column) -> Column:
@@ -180,39 +181,56 @@ def _random(least: int):
     return lambda t: (t.bin >= least) & (t.p_random >= 0.01)
 
 
-def find_secrets(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", fdr: float = FDR) -> DataFrame:
-    """Per document: doc_id and spans, an array of struct<start, kind_order, end, kind> in order."""
-    scanned = stored(scan(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))))
-    least = discovery_bin(scanned, fdr)
+def _named(least: int) -> Column:
+    """The spans of a scanned row in order."""
 
     def named(i, kind):
         return lambda x: F.struct(x.s.alias("start"), F.lit(i).alias("kind_order"), x.e.alias("end"), F.lit(kind).alias("kind"))
 
-    named = [F.transform(F.col(k) if k != "random" else F.filter("tokens", _random(least)), named(i, k)) for i, k in enumerate(KINDS)]
-    return scanned.select("doc_id", F.array_sort(F.concat(*named)).alias("spans"))
+    return F.array_sort(F.concat(*[F.transform(F.col(k) if k != "random" else F.filter("tokens", _random(least)), named(i, k)) for i, k in enumerate(KINDS)]))
+
+
+def find_secrets(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", fdr: float = FDR) -> DataFrame:
+    """Per document: doc_id and spans, an array of struct<start, kind_order, end, kind> in order."""
+    scanned = stored(scan(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))))
+    return scanned.select("doc_id", _named(discovery_bin(scanned, fdr)).alias("spans"))
 
 
 def span_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x.kind, x.start.cast("string"), x.end.cast("string"))), ",")
 
 
+def _cut_out(text: Column, spans: Column, mask: str) -> Column:
+    """The text with ``mask`` for every stretch that spans cover; a chunk of the text at a time, so a cut never walks all of it."""
+    inner = lambda x: F.exists(spans, lambda y: (y.start <= x.start) & (x.end <= y.end) & ((y.start < x.start) | (x.end < y.end) | (y.kind_order < x.kind_order)))
+    alone = F.filter(spans, lambda x: ~inner(x))  # no span lies in another now, so ends rise with starts
+
+    def shown(chunk, first, spans):
+        here = F.filter(spans, lambda x: (x.end > first) & (x.start < first + F.length(chunk)))
+        ends = F.concat(F.array(F.lit(0)), F.transform(here, lambda x: F.least(x.end - first, F.length(chunk))))
+
+        def piece(x, i):
+            before, at = F.get(ends, i), F.greatest(x.start - first, F.lit(0))
+            new = (x.start >= first) & ((i == 0) | (x.start >= F.get(ends, i) + first))
+            return F.concat(F.substring(chunk, before + 1, F.greatest(F.lit(0), at - before)), F.when(new, F.lit(mask)).otherwise(F.lit("")))
+
+        tail = F.substring(chunk, F.element_at(ends, -1) + 1, F.length(chunk))
+        return F.concat(F.array_join(F.transform(here, piece), ""), tail)
+
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_CHUNK}}}"), F.lit(0))
+    held = F.transform(F.array(F.struct(alone.alias("spans"), chunks.alias("chunks"))), lambda h: F.array_join(F.transform(h.chunks, lambda c, i: shown(c, i * _CHUNK, h.spans)), ""))[0]
+    return F.when(F.size(spans) > 0, held).otherwise(text)
+
+
 def masked(docs: DataFrame, *, text_col: str = "text", fdr: float = FDR, mask: str = MASK) -> DataFrame:
-    """docs with every secret in ``text_col`` replaced by ``mask``; a null text stays null, the other columns as they are."""
-    least = discovery_bin(stored(scan(docs.select(F.col(text_col).alias("text")), carry=())), fdr)
-    text = F.col(text_col)
-
-    def swap(text, pattern, secret):
-        pieces, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        shown = F.zip_with(matches, secret(text, matches), lambda m, s: F.when(s, F.lit(mask)).otherwise(m))
-        return F.when(text.rlike(pattern), F.array_join(F.zip_with(pieces, shown, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")).otherwise(text)
-
-    def is_random(t, m):
-        return F.transform(m, lambda x: F.transform(F.array(battery(x)), lambda b: (b.p_random >= 0.01) & (F.floor(-F.log10(F.greatest(b.p_text, F.lit(1e-300))) / BIN) >= least))[0])
-
-    out = docs.withColumn(text_col, swap(text, ASSIGN, lambda t, m: F.transform(F.regexp_extract_all(t, F.lit(ASSIGN), F.lit(2)), lambda g: F.length(g) >= 8)))
-    out = out.withColumn(text_col, F.regexp_replace(text, ACCESS, F.lit(mask)))
-    out = out.withColumn(text_col, F.regexp_replace(text, HEX, F.lit(mask)))
-    return out.withColumn(text_col, swap(text, TOKEN, is_random)) if least < BINS else out
+    """docs with every stretch of ``text_col`` that the reported spans cover replaced by ``mask``; a null text stays null,
+    the other columns as they are. The texts are scanned once."""
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).alias("_text"))
+    scanned = stored(scan(rows, text_col="_text", carry=("_row",)))
+    spans = _named(discovery_bin(scanned, fdr))
+    text = F.col("_row").getField(text_col)
+    shown = scanned.select("_row", spans.alias("_spans")).withColumn("_text", _cut_out(text, F.col("_spans"), mask))
+    return shown.select(*[(F.col("_text") if c == text_col else F.col("_row").getField(c)).alias(c) for c in docs.columns])
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
