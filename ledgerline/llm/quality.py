@@ -158,7 +158,7 @@ def fit_net(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> Net | None:
     if len(vy):
         raw = net.logits(vx)
         loss = lambda t: np.logaddexp(0, np.where(vy == 1, -raw, raw) / t).mean()
-        net.temperature = float(min(np.geomspace(0.25, 8, 200), key=loss))
+        net.temperature = float(min(np.geomspace(0.25, 64, 300), key=loss))
     return net
 
 
