@@ -62,13 +62,15 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: each document as often as it is taken; the last copy may be a part, which keeps the
-    first words joined by one space. Rows that share id and size share what they take evenly. Documents
-    without words are kept once."""
-    taken = mix(docs, **options).groupBy("doc_id", "size").agg(F.expr("sum(taken) div count(*)").alias("_taken"))
-    taken = taken.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "_taken")
+    first words joined by one space. Rows that share id and size share what they take, in order of a hash of
+    the text: evenly, and what is left over a word each. Documents without words are kept once."""
+    taken = mix(docs, **options).groupBy("doc_id", "size").agg(F.sum("taken").alias("_sum"), F.count("*").alias("_n"))
+    taken = taken.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "_sum", "_n")
     cols = docs.columns
     sized = docs.withColumn("_words", n_words(F.col("text")))
     got = sized.join(taken, sized["doc_id"].eqNullSafe(taken["_id"]) & (F.col("_words") == F.col("_size")))
+    place = F.row_number().over(Window.partitionBy("_id", "_size").orderBy(F.xxhash64("text")))
+    got = got.withColumn("_taken", F.expr("_sum div _n") + F.when(place <= F.col("_sum") % F.col("_n"), 1).otherwise(0))
     whole = F.when(F.col("_words") > 0, F.expr("_taken div _words")).otherwise(F.lit(1)).cast("int")
     part = F.when(F.col("_words") > 0, F.col("_taken") % F.col("_words")).otherwise(F.lit(0)).cast("int")
     copies = F.concat(F.array_repeat(F.lit(0), whole), F.filter(F.array(part), lambda x: x > 0))

@@ -278,8 +278,13 @@ def test_mix_meets_its_targets(spark, odd):
     for target, rows in got.groupby("target"):
         assert target <= 3 * rows.source_size.iloc[0]
     assert abs(got.taken.sum() - got["size"].sum()) <= 20
-    again = mixing.mixed_documents(odd)
-    assert again.columns == odd.columns and again.count() > 0
+    again = mixing.mixed_documents(odd).toPandas()
+    assert list(again.columns) == odd.columns
+    words = lambda df: df.text.map(lambda t: len((t or "").split())).sum()
+    assert words(again) == mixing.mix(odd).toPandas().taken.sum()  # repeated rows lose no word
+    got = mixing.mix(odd).toPandas()
+    assert got[got.doc_id.isin([2, 3, 4])].taken.sum() == 0 and got[got.doc_id == 2]["size"].tolist() == [0]
+    assert set(got[got.doc_id == 6].source_size) == {60_001} and len(got) == odd.count()
 
 
 def test_water_fill_clamps_until_none_is_above(spark):
