@@ -571,15 +571,41 @@ def test_neighbours_reach_nine_tenths_of_brute_force(spark):
 
 
 def test_search_ends_only_when_its_front_is_empty(spark):
-    """A chain of 30 nodes is walked to its end; the edges and the beam grow with the nodes."""
+    """A chain of 31 nodes in groups of three is walked to its end; the edges and the beam grow with the nodes."""
     x = np.random.default_rng(3).normal(size=(31, 8))
-    codes = spark.createDataFrame([(i, np.round(v / np.abs(v).max() * 32767).astype("<i2").tobytes()) for i, v in enumerate(x)], "node long, code binary")
-    edges = spark.createDataFrame([(i, i + 1, 0.5, 0) for i in range(30)], "u long, v long, sim double, fresh int")
-    pool = neighbours.search(edges, codes, spark.createDataFrame([(0,)], "q long"))
+    codes = np.round(x / np.abs(x).max(1, keepdims=True) * 32767).astype("<i2")
+    key = [(k // 3 << neighbours.PLACE) | k % 3 for k in range(31)]
+    rows = []
+    for g in range(11):
+        own = range(3 * g, min(31, 3 * g + 3))
+        v = np.array([[key[k + 1] if k < 30 else -1] for k in own], np.int64)
+        rows.append((g, neighbours.STATE, 0, 0, neighbours.pack(np.array(own, np.int64), codes[list(own)], v, np.zeros(v.shape, "<f4"), np.zeros(v.shape, bool))))
+    held = spark.createDataFrame(rows, neighbours._TYPES)
+    names = spark.createDataFrame([(key[k], codes[k].tobytes(), k) for k in range(31)], "node long, code binary, id long")
+    pool = neighbours.search(held, names, spark.createDataFrame([(0,)], "id long"))
     assert {r.v for r in pool.collect()} == set(range(31))
     assert neighbours.sizes(500) == (24, 96) and neighbours.sizes(160_000) == (48, 384)
 
 
+def test_packed_rows_come_back():
+    arrays = [np.arange(5), np.zeros((0, 3), "<f4"), np.ones((2, 2), "<i2"), np.array([True, False])]
+    assert all((x == y).all() and x.dtype == y.dtype and x.shape == y.shape for x, y in zip(arrays, neighbours.unpack(neighbours.pack(*arrays))))
+
+
+def test_lengths_and_sizes_of_vectors(spark):
+    """Each length is searched apart; components near the ends of the doubles score as others do."""
+    rng = np.random.default_rng(12)
+    x, y = rng.normal(size=(30, 4)), rng.normal(size=(12, 3))
+    rows = [(i, (v * (1e200 if i % 3 == 0 else 1e-200 if i % 3 == 1 else 1)).tolist()) for i, v in enumerate(x)] + [(50 + i, v.tolist()) for i, v in enumerate(y)]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).toPandas()
+    for q, z, first in ((0, x, 0), (50, y, 50)):
+        z = z / np.linalg.norm(z, axis=1, keepdims=True)
+        s = z @ z[0]
+        want = [int(i) + first for i in np.argsort(-s) if i][:5]
+        rows_ = got[got.query_id == q].sort_values("rank")
+        assert rows_.vec_id.tolist() == want and np.allclose(rows_.score, [s[i - first] for i in want])
+
+
 def test_strays_find_and_are_found(spark, monkeypatch):
     """Vectors alone in their hyperplane cells get five neighbours, too."""
     monkeypatch.setattr(neighbours, "CELL", 2)
