@@ -99,10 +99,10 @@ def trimmed_circle_fit(df: DataFrame, keys: list[str], x: str, y: str, tolerance
 
 
 def box_sums(votes: DataFrame, y: str, x: str, n: str, reach: int) -> DataFrame:
-    """Sum of the votes in the square around each cell that has one or is near one."""
-    offsets = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)]
-    spread = votes.select(y, x, n, F.explode(F.array(*offsets)).alias("d")).select((F.col(y) + F.col("d.i")).alias(y), (F.col(x) + F.col("d.j")).alias(x), n)
-    return spread.groupBy(y, x).agg(F.sum(n).alias("votes"))
+    """Sum of the votes in the square around each cell that has one or is near one: along rows, then along columns."""
+    near = F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("_d")
+    rows = votes.select(y, x, n, near).groupBy(y, (F.col(x) + F.col("_d")).alias(x)).agg(F.sum(n).alias(n))
+    return rows.select(y, x, n, near).groupBy((F.col(y) + F.col("_d")).alias(y), x).agg(F.sum(n).alias("votes"))
 
 
 def suppressed_peaks(df: DataFrame, y: str, x: str, value: str, peaks: int, apart: int) -> DataFrame:

@@ -54,9 +54,23 @@ def circle_fit(spark, d):
     return H.circle_fit(_xy(spark, d), ["label"], "x", "y").select("label", "n", *[F.round(c, 5).alias(c) for c in ("cx", "cy", "r")])
 
 
-@query()
+def _fit_sql(rounds: int, tolerance: float) -> str:
+    """Round after round: a fit of the points that the round before keeps."""
+    out, src = _XY, "p"
+    for k in range(rounds):
+        out += f"""
+, m{k} AS (SELECT label, avg(x) AS mx, avg(y) AS my FROM {src} GROUP BY 1), c{k} AS (SELECT label, mx, my, x-mx AS u, y-my AS v FROM {src} JOIN m{k} USING (label)),
+s{k} AS (SELECT label, count(*) AS n, min(mx) AS mx, min(my) AS my, sum(u*u) AS uu, sum(u*v) AS uv, sum(v*v) AS vv, sum(u*(u*u+v*v)) AS uq, sum(v*(u*u+v*v)) AS vq FROM c{k} GROUP BY 1),
+d{k} AS (SELECT *, (uq*vv-vq*uv)/(2*(uu*vv-uv*uv)) AS a, (vq*uu-uq*uv)/(2*(uu*vv-uv*uv)) AS b FROM s{k} WHERE uu*vv-uv*uv<>0),
+f{k} AS (SELECT label, n, mx+a AS cx, my+b AS cy, sqrt(a*a+b*b+(uu+vv)/n) AS r FROM d{k}), t{k} AS (SELECT p.label, x, y FROM p JOIN f{k} USING (label) WHERE abs(sqrt((x-cx)*(x-cx)+(y-cy)*(y-cy))-r)<{tolerance})"""
+        src = f"t{k}"
+    return out + f" SELECT label, CAST(n AS BIGINT) AS n, round(cx,5)+0 AS cx, round(cy,5)+0 AS cy, round(r,5) AS r FROM f{rounds - 1}"
+
+
+@query(_fit_sql(6, 0.15))
 def trimmed_fit(spark, d):
-    return H.trimmed_circle_fit(_xy(spark, d), ["label"], "x", "y", 0.15)
+    fit = H.trimmed_circle_fit(_xy(spark, d), ["label"], "x", "y", 0.15)
+    return fit.select("label", "n", (F.round("cx", 5) + 0).alias("cx"), (F.round("cy", 5) + 0).alias("cy"), F.round("r", 5).alias("r"))
 
 
 @query(_XY + """
@@ -141,7 +155,16 @@ def claimed_overlap(spark, d):
     return f.agg(F.count("*").alias("cells"), F.count("hit").alias("claimed"), F.round(F.count("hit") / F.count("*"), 6).alias("share"))
 
 
-@query()
+def _peaks_sql(peaks: int, apart: int) -> str:
+    out = _XY + """
+, n AS (SELECT CAST(floor(y*40) AS BIGINT) AS y, CAST(floor(x*40) AS BIGINT) AS x, count(*) AS n FROM p GROUP BY 1,2), o AS (SELECT unnest(range(-2,3)) AS d),
+l0 AS (SELECT n.y+a.d AS y, n.x+b.d AS x, CAST(sum(n) AS BIGINT) AS votes FROM n, o a, o b GROUP BY 1,2)"""
+    for k in range(peaks):
+        out += f", b{k} AS (SELECT {k} AS peak, y, x, votes FROM l{k} ORDER BY votes DESC, y, x LIMIT 1), l{k + 1} AS (SELECT l.* FROM l{k} l WHERE NOT EXISTS (SELECT 1 FROM b{k} b WHERE abs(l.y-b.y)<{apart} AND abs(l.x-b.x)<{apart}))"
+    return out + " SELECT * FROM (" + " UNION ALL ".join(f"SELECT * FROM b{k}" for k in range(peaks)) + ")"
+
+
+@query(_peaks_sql(4, 5))
 def vote_peaks(spark, d):
     votes = _xy(spark, d).groupBy(F.floor(F.col("y") * 40).alias("y"), F.floor(F.col("x") * 40).alias("x")).agg(F.count("*").alias("n"))
     return H.suppressed_peaks(H.box_sums(votes, "y", "x", "n", 2), "y", "x", "votes", 4, 5)

@@ -254,13 +254,24 @@ def ridge_track(spark, d):
     return p.withColumn("k", F.row_number().over(w)).where("k = 1").select("event_type", F.round(F.col("place") - 15, 6).alias("deviation"))
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT user_id, event_id, epoch(ts) AS lo, epoch(ts)+6*3600 AS hi, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS k FROM events),
+w AS (SELECT user_id, k, event_id, CASE WHEN true THEN 0 END AS tier, false AS forced, [lo, 1e18, 1e18] AS free FROM e WHERE k=1
+ UNION ALL SELECT e.user_id, e.k, e.event_id, t.tier, t.forced, CASE WHEN t.forced THEN free ELSE [CASE WHEN t.tier=i-1 THEN e.lo ELSE free[i] END FOR i IN [1,2,3]] END
+ FROM w JOIN e ON e.user_id=w.user_id AND e.k=w.k+1, LATERAL (SELECT CASE WHEN e.hi<=free[1] THEN 0 WHEN e.hi<=free[2] THEN 1 ELSE 2 END AS tier, e.hi>free[1] AND e.hi>free[2] AND e.hi>free[3] AS forced) t)
+SELECT user_id, event_id, CAST(tier AS INTEGER) AS tier, forced FROM w
+""")
 def greedy_tiers(spark, d):
     e = table(spark, d, "events").select("user_id", "event_id", (seconds(F.col("ts"))).alias("lo")).withColumn("hi", F.col("lo") + F.lit(6 * 3600.0))
     return G.tiers(e, "user_id", "event_id", "lo", "hi", 3)
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+w AS (SELECT user_id, event_id, k, value, false AS changed FROM e WHERE k=1
+ UNION ALL SELECT e.user_id, e.event_id, e.k, CASE WHEN e.value>=w.value THEN w.value-1 ELSE e.value END, e.value>=w.value FROM w JOIN e ON e.user_id=w.user_id AND e.k=w.k+1)
+SELECT user_id, event_id, value, changed FROM w
+""")
 def monotonic_guard(spark, d):
     e = table(spark, d, "events").select("user_id", "event_id", "ts", "value")
     return G.guard(e, "user_id", "event_id", "ts", "value")
