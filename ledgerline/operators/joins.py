@@ -33,7 +33,7 @@ def contained_in(needles: DataFrame, needle_id: str, needle: str, texts: DataFra
     hits = t.select(text_id, F.explode(F.array_distinct(_grams(words, gram))).alias("_g")).join(long.select(needle_id, "_g"), "_g").select(needle_id, text_id)
     # short ones, by the words that contain their longest piece
     by_size = F.array_sort(F.transform("_w", lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x"))))
-    short = n.where((F.size("_w") > 0) & (F.size("_w") < gram + 2)).withColumn("_p", by_size[0]["x"])
+    short = n.where((F.size("_w") > 0) & (F.size("_w") < gram + 2)).withColumn("_p", F.get(by_size, F.lit(0))["x"])
     short = short.select(needle_id, "_p", F.substring("_p", 1, 3).alias("_k"))
     posted = t.select(text_id, F.explode(F.array_distinct(words)).alias("_word"))
     starts = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("_word") - (k - 1))), lambda i: F.substring(F.col("_word"), i, F.lit(k)))
