@@ -1,20 +1,35 @@
-"""Reliable checkpoints for iterative operators, in the folder of spark.checkpoint.dir."""
+"""Durable intermediate tables, in the folder of spark.checkpoint.dir."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """checkpoint(); a temporary folder is set only for a local master that has none."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Only a local[...] master may fall back to a temporary one."""
+    sc = spark.sparkContext
+    conf = spark.conf.get("spark.checkpoint.dir", None)
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
+        if conf is None:
             if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="ledgerline-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
+            conf = tempfile.mkdtemp(prefix="ledgerline-")
+        sc.setCheckpointDir(conf)
+    return conf or sc._jsc.sc().getCheckpointDir().get()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: its plan runs once, lineage ends, lost executors cost nothing.
+
+    The table is deleted when the application's file system handles close.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/ledgerline-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    jvm = spark._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hpath)
+    return spark.read.schema(df.schema).parquet(path)

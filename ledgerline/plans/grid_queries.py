@@ -92,18 +92,19 @@ def profile_occupancy(spark, d):
     return g
 
 
-_GRID = "WITH RECURSIVE g AS (SELECT DISTINCT CAST((l_orderkey*7+l_linenumber)%20 AS BIGINT) AS y, CAST((l_partkey*3)%40 AS BIGINT) AS x FROM lineitem WHERE l_orderkey%401=0)"
+#: A sparse grid of 2000 x 4000 cells.
+_GRID = "WITH RECURSIVE g AS (SELECT DISTINCT CAST((l_orderkey*7+l_linenumber)%2000 AS BIGINT) AS y, CAST((l_partkey*31+l_suppkey*17)%4000 AS BIGINT) AS x FROM lineitem)"
 
 
 def _grid(spark, d):
-    li = table(spark, d, "lineitem").where("l_orderkey % 401 = 0")
-    return li.select(((F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 20).cast("long").alias("y"), ((F.col("l_partkey") * 3) % 40).cast("long").alias("x")).distinct()
+    li = table(spark, d, "lineitem")
+    return li.select(((F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 2000).cast("long").alias("y"), ((F.col("l_partkey") * 31 + F.col("l_suppkey") * 17) % 4000).cast("long").alias("x")).distinct()
 
 
 _COMPONENTS = _GRID + """
-, id AS (SELECT y, x, y*40+x AS id FROM g), e AS (SELECT a.id AS a, b.id AS b FROM id a JOIN id b ON abs(a.y-b.y)<=1 AND abs(a.x-b.x)<=1 AND a.id<>b.id),
+, id AS (SELECT y, x, y*4000+x AS id FROM g), o AS (SELECT unnest([-1,0,1]) AS d), e AS (SELECT a.id AS a, b.id AS b FROM id a, o i, o j, id b WHERE b.y=a.y+i.d AND b.x=a.x+j.d AND a.id<>b.id),
 w AS (SELECT id, id AS c FROM id UNION SELECT e.b, w.c FROM w JOIN e ON e.a=w.id), l AS (SELECT id, min(c) AS comp FROM w GROUP BY 1),
-z AS (SELECT comp, id//40 AS y, id%40 AS x FROM l), s AS (SELECT comp, CAST(count(*) AS BIGINT) AS cells, CAST(min(x) AS BIGINT) AS x0, CAST(min(y) AS BIGINT) AS y0, CAST(max(x)+1 AS BIGINT) AS x1, CAST(max(y)+1 AS BIGINT) AS y1, round(avg(x),6) AS cx, round(avg(y),6) AS cy FROM z GROUP BY 1)
+z AS (SELECT comp, id//4000 AS y, id%4000 AS x FROM l), s AS (SELECT comp, CAST(count(*) AS BIGINT) AS cells, CAST(min(x) AS BIGINT) AS x0, CAST(min(y) AS BIGINT) AS y0, CAST(max(x)+1 AS BIGINT) AS x1, CAST(max(y)+1 AS BIGINT) AS y1, round(avg(x),6) AS cx, round(avg(y),6) AS cy FROM z GROUP BY 1)
 """
 
 
@@ -125,6 +126,14 @@ def component_extents(spark, d):
     return s.select("cells", "x0", "y0", "x1", "y1", "cx", "cy", F.row_number().over(w).cast("long").alias("place"))
 
 
+@query(_COMPONENTS + ", big AS (SELECT comp FROM s WHERE cells>=3) SELECT z.y, z.x, CAST(s.cells AS BIGINT) AS cells FROM z JOIN big USING (comp) JOIN s USING (comp)")
+def structural_mask(spark, d):
+    """Cells of the components of three cells or more."""
+    runs = H.label_runs(_grid(spark, d), [], "y", "x")
+    big = H.component_sizes(runs, [], "y").where("cells >= 3").select("comp", "cells")
+    return runs.join(big, "comp").select("y", F.explode(F.sequence("a", F.col("z") - 1)).alias("x"), "cells")
+
+
 @query(_GRID + """
 , o AS (SELECT unnest([-1,0,1]) AS d), dl AS (SELECT DISTINCT g.y+a.d AS y, g.x+b.d AS x FROM g, o a, o b), er AS (SELECT dl.y+a.d AS y, dl.x+b.d AS x FROM dl, o a, o b)
 SELECT y, x FROM er GROUP BY 1,2 HAVING count(*)=9
@@ -134,12 +143,12 @@ def morph_close(spark, d):
 
 
 @query(_GRID + """
-, pt AS (SELECT CAST(p_partkey AS BIGINT) AS id, (p_size%19)+0.25 AS py, (p_partkey%38)+0.75 AS px FROM part), v AS (SELECT y, x, 1.0 AS v FROM g),
+, pt AS (SELECT CAST(p_partkey AS BIGINT) AS id, (p_partkey*7%1999)+0.25 AS py, (p_partkey*p_size%3998)+0.75 AS px FROM part), v AS (SELECT y, x, 1.0 AS v FROM g),
 c AS (SELECT id, floor(py)+i AS y, floor(px)+j AS x, (CASE WHEN i=1 THEN py-floor(py) ELSE 1-(py-floor(py)) END)*(CASE WHEN j=1 THEN px-floor(px) ELSE 1-(px-floor(px)) END) AS w FROM pt, range(0,2) a(i), range(0,2) b(j))
 SELECT id, round(CAST(sum(w*coalesce(v.v,0)) AS DOUBLE),6) AS ink FROM c LEFT JOIN v ON c.y=v.y AND c.x=v.x GROUP BY id
 """)
 def bilinear_sample(spark, d):
-    pts = table(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 19 + 0.25).alias("py"), (F.col("p_partkey") % 38 + 0.75).alias("px"))
+    pts = table(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") * 7 % 1999 + 0.25).alias("py"), (F.col("p_partkey") * F.col("p_size") % 3998 + 0.75).alias("px"))
     return H.bilinear(pts, _grid(spark, d).withColumn("ink", F.lit(1.0)), "y", "x", "ink").select("id", F.round("ink", 6).alias("ink"))
 
 
