@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
+from ledgerline.operators.durable import shared_dir, stored
+
+__all__ = ["BATCH_ROWS", "WORD", "in_small_batches", "integer_id", "n_words", "shared_dir", "stored", "table"]
+
 #: A word: a maximal run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -29,33 +30,6 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Only a local[...] master may fall back to a temporary one."""
-    sc = spark.sparkContext
-    conf = spark.conf.get("spark.checkpoint.dir", None)
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        if conf is None:
-            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            conf = tempfile.mkdtemp(prefix="ledgerline-")
-        sc.setCheckpointDir(conf)
-    return conf or sc._jsc.sc().getCheckpointDir().get()
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends, lost executors cost nothing.
-
-    The table is deleted when the application's file system handles close.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/ledgerline-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    jvm = spark._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hpath)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: Rows of an Arrow batch of texts, at most. The default of 10,000 has no bound in bytes that matters here.
 BATCH_ROWS = 500
 
