@@ -102,7 +102,8 @@ def _grid(spark, d):
 
 
 _COMPONENTS = _GRID + """
-, id AS (SELECT y, x, y*4000+x AS id FROM g), o AS (SELECT unnest([-1,0,1]) AS d), e AS (SELECT a.id AS a, b.id AS b FROM id a, o i, o j, id b WHERE b.y=a.y+i.d AND b.x=a.x+j.d AND a.id<>b.id),
+, id AS MATERIALIZED (SELECT y, x, y*4000+x AS id FROM g), o AS (SELECT unnest([-1,0,1]) AS d), near AS MATERIALIZED (SELECT id, y+i.d AS y, x+j.d AS x FROM id, o i, o j),
+e AS MATERIALIZED (SELECT n.id AS a, b.id AS b FROM near n JOIN id b ON b.y=n.y AND b.x=n.x WHERE n.id<>b.id),
 w AS (SELECT id, id AS c FROM id UNION SELECT e.b, w.c FROM w JOIN e ON e.a=w.id), l AS (SELECT id, min(c) AS comp FROM w GROUP BY 1),
 z AS (SELECT comp, id//4000 AS y, id%4000 AS x FROM l), s AS (SELECT comp, CAST(count(*) AS BIGINT) AS cells, CAST(min(x) AS BIGINT) AS x0, CAST(min(y) AS BIGINT) AS y0, CAST(max(x)+1 AS BIGINT) AS x1, CAST(max(y)+1 AS BIGINT) AS y1, round(avg(x),6) AS cx, round(avg(y),6) AS cy FROM z GROUP BY 1)
 """
