@@ -1,33 +1,24 @@
 """Operator 10: approximate nearest neighbours by NN-descent and greedy graph search.
 
-Equal vectors are one node. Nodes stand in groups of some hundreds that share random hyperplane
-signs (large ones split by a hash), and a group's nodes, codes and edges are one packed row: what
-travels are packed messages between groups, not a row for each edge. Nodes start with the best of
-their own group, of a second deal by other hyperplanes and of a deal by a plain hash, so that none
-starts alone. Then each round joins every node to its neighbours and some reverse neighbours and
-compares those with one another (pairs with at least one new member), until few edges change:
-
-1. groups tell reverse edges to their targets' groups, and choose the lists to compare;
-2. they ask for the nodes of other groups in those lists, once a group;
-3. these are told: codes and the worst edge each still keeps;
-4. pairs better than that are offered to the groups of either end, and merged.
-
-Edges of a node and the beam of a query grow with the number of nodes (``sizes``). Vectors travel as
-16-bit codes; the packed groups are written once a round.
-
-A query starts at its own node and keeps the best nodes seen, as many as the beam holds; each round looks
-at all neighbours and reverse neighbours of those not yet looked at, until none is left. The best are
+Equal vectors are one node. Nodes start with the best of a few hundred others that share random
+hyperplane signs, and of a few hundred that a plain hash deals to them, so that none starts alone; then each round joins every node to its neighbours and some reverse neighbours
+and compares those with one another (pairs with at least one new member), until few edges
+change. Edges of a node and the beam of a query grow with the number of nodes (``sizes``). Vectors travel as 16-bit codes; a table of edges is all that is kept of a round.
+
+A query starts at its own node and keeps the best nodes seen, as many as the beam holds; each round looks at all
+neighbours and reverse neighbours of those not yet looked at, until none is left. The best are
 ranked again by the cosine of the original vectors in double precision; nodes are expanded to
 the smallest ids of their equal vectors, so ties go to the smaller id.
 
-Nothing is dropped to escape skew: large cells are split by a hash, lists are short by definition of
-the graph, and a node of many equal vectors needs only its first ids to answer any query.
+Nothing is dropped to escape skew: large cells of the first step are split by a hash, reverse
+lists and edges are short by definition of the graph, and a node of many equal vectors needs
+only its first ids to answer any query.
 
 Defined results: vectors that are null, empty, zero or hold a null or non-finite component take no
 part; vectors are compared with those of their own length (each length is a graph of its own); with
 fewer candidates than asked for, all are returned; components of any finite size are scaled by powers
-of two, so squares neither overflow nor vanish; an empty table gives no rows; other columns of the input
-are ignored. The id column must be of an integer type.
+of two, so squares neither overflow nor vanish; an empty table gives no rows; other columns of the
+input are ignored. The id column must be of an integer type.
 """
 
 from __future__ import annotations
@@ -41,22 +32,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm import tokens as T
-from ledgerline.llm.common import in_small_batches, integer_id, stored, table
+from ledgerline.llm.common import integer_id, stored, table
 
 SMALL = 10_000  # up to so many nodes EDGES and BEAM hold; they grow from there
 EDGES, BEAM = 24, 96
-CELL = 256  # nodes of a cell of a deal
+CELL, TABLES = 256, 2  # nodes of a cell of the first step, and how often nodes are dealt
+TELL = 10  # edges that one node's round offers to each neighbour
 FEW = 0.02  # share of new edges that ends the rounds
 SEED = 5
 AGAIN = 32  # best nodes that are ranked again
-#: A node's key: its group and its place in it. Groups are hashes of 63 - PLACE bits.
-PLACE = 20
-U = np.uint64
-#: Kinds of packed rows.
-STATE, NEWS, NEAR, ASK, TELL, OFFER, SERVE, POOL, LOOK, SEEN = range(10)
-_ROW = pa.schema([("g", pa.int64()), ("kind", pa.int32()), ("src", pa.int64()), ("n", pa.int64()), ("blob", pa.binary())])
-_TYPES = "g long, kind int, src long, n long, blob binary"
-_KINDS = ("<i8", "<f4", "<i2", "|b1")
 
 
 def sizes(n: int) -> tuple[int, int]:
@@ -70,93 +54,6 @@ def usable(vec: Column) -> Column:
     return vec.isNotNull() & finite & F.exists(vec, lambda x: x != 0)
 
 
-# ---- packed rows
-
-
-def pack(*arrays: np.ndarray) -> bytes:
-    out = []
-    for x in arrays:
-        x = np.ascontiguousarray(x)
-        out += [np.array([_KINDS.index(x.dtype.str), x.ndim, *x.shape], "<i8").tobytes(), x.tobytes()]
-    return b"".join(out)
-
-
-def unpack(blob: bytes) -> list[np.ndarray]:
-    out, at = [], 0
-    while at < len(blob):
-        kind, dims = np.frombuffer(blob, "<i8", 2, at)
-        shape = np.frombuffer(blob, "<i8", dims, at + 16)
-        at += 16 + 8 * int(dims)
-        out.append(np.frombuffer(blob, _KINDS[kind], int(shape.prod()), at).reshape(shape))
-        at += out[-1].nbytes
-    return out
-
-
-def _sent(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), _ROW)] if rows else [pa.array([], f.type) for f in _ROW], schema=_ROW)
-
-
-def _flow(step):
-    """mapInArrow of ``step(g, {kind: [(src, arrays)]})``, which yields rows (g, kind, src, n, blob), over rows sorted by g."""
-
-    def run(batches):
-        out, size = [], 0
-        for (g,), held in T.groups(batches, 1):
-            got: dict[int, list] = {}
-            for b in held:
-                for kind, src, blob in zip(*(b.column(c).to_pylist() for c in ("kind", "src", "blob"))):
-                    got.setdefault(kind, []).append((src, blob))
-            for row in step(int(g), got):
-                out.append(row)
-                size += len(row[4])
-                if size > 4 << 20:
-                    yield _sent(out)
-                    out, size = [], 0
-        yield _sent(out)
-
-    return run
-
-
-def _step(rows: DataFrame, step) -> DataFrame:
-    return rows.repartition("g").sortWithinPartitions("g", "kind", "src").mapInArrow(_flow(step), _TYPES)
-
-
-def _to(keys: np.ndarray):
-    """(group, places) of the keys of each group."""
-    g = keys >> PLACE
-    order = np.argsort(g, kind="stable")
-    for part in np.split(order, np.flatnonzero(np.diff(g[order])) + 1) if len(keys) else []:
-        yield int(g[part[0]]), part
-
-
-def _gathered(rows: list, parts: int) -> list[np.ndarray]:
-    """The arrays of several messages, joined."""
-    got = [unpack(blob) for _, blob in rows]
-    return [np.concatenate([x[k] for x in got]) for k in range(parts)]
-
-
-def _unit(codes: np.ndarray) -> np.ndarray:
-    x = codes.astype(np.float32)
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), np.float32(1e-20))
-
-
-def _best(u: np.ndarray, s: np.ndarray, v: np.ndarray, most: int) -> np.ndarray:
-    """Places of the ``most`` best of each u, by u."""
-    order = np.lexsort((v, -s, u))
-    first = np.searchsorted(u[order], u[order])
-    return order[np.arange(len(u)) - first < most]
-
-
-def _hash(*xs) -> np.ndarray:
-    h = np.zeros(1, U)
-    for x in xs:
-        h = T.mix64(np.asarray(x).astype(U) + h * U(0x9E3779B97F4A7C15) + U(1))
-    return h
-
-
-# ---- groups and first edges
-
-
 def _codes(batches):
     for batch in batches:
         rows = [np.asarray(v, np.float64) for v in batch.column("vec").to_pylist()]
@@ -164,208 +61,106 @@ def _codes(batches):
         yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(out, pa.binary())], names=["node", "code"])
 
 
-def _cells(bits: int, deal: int):
-    """Adds the cell of each node: signs of projections on random hyperplanes."""
+def _unit(blobs: list[bytes]) -> np.ndarray:
+    x = np.frombuffer(b"".join(blobs), "<i2").reshape(len(blobs), -1).astype(np.float64)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _cells(bits: int):
+    """(table, cell) of each node: signs of projections on random hyperplanes."""
 
     def run(batches):
         planes: dict[int, np.ndarray] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _unit(np.frombuffer(b"".join(batch.column("code").to_pylist()), "<i2").reshape(batch.num_rows, -1))
-            if x.shape[1] not in planes:
-                planes[x.shape[1]] = np.random.default_rng(SEED + deal).normal(size=(x.shape[1], bits)).astype(np.float32)
-            sign = (x @ planes[x.shape[1]] > 0).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("code"), pa.array((sign << np.arange(bits)).sum(1) if bits else np.zeros(len(x), np.int64))], names=["node", "code", "cell"])
+            x = _unit(batch.column("code").to_pylist())
+            dim = x.shape[1]
+            if dim not in planes:
+                planes[dim] = np.random.default_rng(SEED).normal(size=(dim, TABLES * bits))
+            sign = (x @ planes[dim] > 0).astype(np.int64)
+            for t in range(TABLES):
+                key = (sign[:, t * bits : (t + 1) * bits] << np.arange(bits)).sum(1) if bits else np.zeros(len(x), np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(np.full(len(x), t), pa.int32()), pa.array(key), batch.column("code")], names=["node", "t", "cell", "code"])
 
     return run
 
 
-def _dealt(nodes: DataFrame, deal: int) -> DataFrame:
-    """(node, code, cell) -> (g, node, code): large cells split by a hash."""
-    counts = nodes.groupBy("cell").agg(F.count("*").alias("_c"))
-    salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("_c") / (2 * CELL)))
-    g = F.shiftrightunsigned(F.xxhash64(F.lit(deal), "cell", salt), PLACE + 1)
-    return nodes.join(counts, "cell").select(g.alias("g"), "node", "code").repartition("g").sortWithinPartitions("g", "node")
+def _column(held, name):
+    return sum((b.column(name).to_pylist() for b in held), [])
 
 
-def _members(batches):
-    """(group, nodes, codes) of sorted rows."""
-    for (g,), held in T.groups(batches, 1):
-        nodes = np.concatenate([b.column("node").to_numpy() for b in held])
-        yield int(g), nodes, np.frombuffer(b"".join(x for b in held for x in b.column("code").to_pylist()), "<i2").reshape(len(nodes), -1)
+def _edges(rows) -> pa.RecordBatch:
+    u, v, s = (np.concatenate(x) for x in zip(*rows))
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], names=["u", "v", "sim"])
 
 
-def _closest(codes: np.ndarray, most: int):
-    """(row, other row, similarity) of the best others of each row."""
-    x, k = _unit(codes), min(most, len(codes) - 1)
-    for a in range(0, len(x) if k > 0 else 0, 512):
-        s = x[a : a + 512] @ x.T
-        s[np.arange(len(s)), np.arange(a, a + len(s))] = -9
-        best = np.argpartition(-s, k - 1, axis=1)[:, :k]
-        yield np.repeat(np.arange(a, a + len(s)), k), best.ravel(), np.take_along_axis(s, best, 1).ravel()
-
-
-def _founded(most: int):
-    """Groups of nodes as packed rows: ids, codes, and the first edges (targets, similarities, whether new)."""
+def _first(edges: int):
+    """Rows (t, cell, salt, node, code): the best of each cell for each node."""
+    return lambda batches: _first_of(batches, edges)
 
-    def run(batches):
-        for g, ids, codes in _members(batches):
-            n = len(ids)
-            v, s = np.full((n, most), -1, np.int64), np.full((n, most), -9, np.float32)
-            for i, j, sim in _closest(codes, most):
-                k = len(i) // len(np.unique(i))
-                rows = i.reshape(-1, k)[:, 0]
-                v[rows, :k], s[rows, :k] = (j | (g << PLACE)).reshape(-1, k), sim.reshape(-1, k)
-            yield _sent([(g, STATE, 0, 0, pack(ids, codes, v, s, v >= 0))])
 
-    return run
+def _first_of(batches, edges: int):
+    out, n = [], 0
+    for _, held in T.groups(batches, 3):
+        node, x = np.array(_column(held, "node"), np.int64), _unit(_column(held, "code"))
+        for a in range(0, len(node), 512):
+            s = x[a : a + 512] @ x.T
+            s[np.arange(len(s)), np.arange(a, a + len(s))] = -9
+            k = min(edges, len(node) - 1)
+            if k <= 0:
+                continue
+            best = np.argpartition(-s, k - 1, axis=1)[:, :k]
+            out.append((np.repeat(node[a : a + 512], k), node[best].ravel(), np.take_along_axis(s, best, 1).ravel()))
+            n += len(out[-1][0])
+        if n > 50_000:
+            yield _edges(out)
+            out, n = [], 0
+    if out:
+        yield _edges(out)
+
+
+def _compare(batches):
+    """Rows (u, v, fresh, code, worst): of u's neighbours, pairs better than what either has."""
+    out, n = [], 0
+    for _, held in T.groups(batches, 1):
+        fresh = np.array(_column(held, "fresh"), bool)
+        if not fresh.any() or len(fresh) < 2:
+            continue
+        node, x, worst = np.array(_column(held, "v"), np.int64), _unit(_column(held, "code")), np.array(_column(held, "worst"))
+        s = x @ x.T
+        s[~(fresh[:, None] | fresh[None, :])] = -9
+        np.fill_diagonal(s, -9)
+        s[s <= worst[:, None]] = -9
+        k = min(TELL, len(node) - 1)
+        best = np.argpartition(-s, k - 1, axis=1)[:, :k]
+        value = np.take_along_axis(s, best, 1)
+        i, j = np.nonzero(value > -9)
+        if len(i):
+            out.append((node[i], node[best[i, j]], value[i, j]))
+            n += len(i)
+        if n > 50_000:
+            yield _edges(out)
+            out, n = [], 0
+    if out:
+        yield _edges(out)
 
 
-def _offered(most: int):
-    """Rows of another deal, by keys: the best of each cell, as offers to the nodes' own groups."""
+def _best_edges(rows: DataFrame, most: int) -> DataFrame:
+    """Rows (u, v, sim, fresh) -> the ``most`` best of each u; an edge that was there before is not fresh."""
+    one = rows.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))
+    w = Window.partitionBy("u").orderBy(F.desc("sim"), "v")
+    return one.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
 
-    def run(batches):
-        for _, keys, codes in _members(batches):
-            out = []
-            for i, j, sim in _closest(codes, most):
-                out += [(g, OFFER, 0, 0, pack(keys[i[at]], keys[j[at]], sim[at])) for g, at in _to(keys[i])]
-            yield _sent(out)
 
-    return run
+def _reverse(edges: DataFrame, most: int, salt: int) -> DataFrame:
+    w = Window.partitionBy("u").orderBy(F.xxhash64(F.lit(salt), "v", "u"))
+    back = edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "fresh")
+    return back.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
 
 
-def _keyed(batches):
-    """(node, code, id) of packed groups: node is the key."""
-    for batch in batches:
-        for g, kind, blob in zip(*(batch.column(c).to_pylist() for c in ("g", "kind", "blob"))):
-            if kind == STATE:
-                ids, codes = unpack(blob)[:2]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(ids)) | (g << PLACE)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(ids)], names=["node", "code", "id"])
-
-
-# ---- rounds
-
-
-def _merged(most: int):
-    """A group and what is offered to it -> the group with its best edges, and its reverse edges as news to their groups."""
-
-    def step(g, got):
-        ids, codes, v, s, new = unpack(got[STATE][0][1])
-        n = len(ids)
-        i, at = np.nonzero(v >= 0)
-        u, w, sim, fresh = i, v[i, at], s[i, at], new[i, at]
-        if OFFER in got:
-            a, b, x = _gathered(got[OFFER], 3)
-            u, w, sim, fresh = np.concatenate([u, a & ((1 << PLACE) - 1)]), np.concatenate([w, b]), np.concatenate([sim, x]), np.concatenate([fresh, np.ones(len(a), bool)])
-        order = np.lexsort((fresh, w, u))
-        one = np.ones(len(order), bool)
-        one[1:] = (u[order][1:] != u[order][:-1]) | (w[order][1:] != w[order][:-1])
-        keep = order[one]
-        keep = keep[_best(u[keep], sim[keep], w[keep], most)]
-        u, w, sim, fresh = u[keep], w[keep], sim[keep], fresh[keep]
-        v, s, new = np.full((n, most), -1, np.int64), np.full((n, most), -9, np.float32), np.zeros((n, most), bool)
-        at = np.arange(len(u)) - np.searchsorted(u, u)
-        v[u, at], s[u, at], new[u, at] = w, sim, fresh
-        yield g, STATE, int(fresh.sum()), len(u), pack(ids, codes, v, s, new)
-        for to, part in _to(w):
-            yield to, NEWS, g, 0, pack(w[part], u[part] | (g << PLACE), fresh[part])
-
-    return step
-
-
-def _lists(most: int, salt: int, every: bool):
-    """Neighbours and up to ``most`` reverse neighbours of each node as lists, and questions for nodes of other groups."""
-
-    def step(g, got):
-        if STATE not in got:
-            return
-        ids, _, v, _, new = unpack(got[STATE][0][1])
-        i, at = np.nonzero(v >= 0)
-        u, w, fresh = i, v[i, at], new[i, at]
-        if NEWS in got:
-            a, b, f = _gathered(got[NEWS], 3)
-            a = a & ((1 << PLACE) - 1)
-            some = _best(a, -(_hash(salt, b, a) >> U(11)).astype(np.float64), b, most)
-            u, w, fresh = np.concatenate([u, a[some]]), np.concatenate([w, b[some]]), np.concatenate([fresh, f[some]])
-        order = np.lexsort((~fresh, w, u))
-        one = np.ones(len(order), bool)
-        one[1:] = (u[order][1:] != u[order][:-1]) | (w[order][1:] != w[order][:-1])
-        u, w, fresh = (x[order[one]] for x in (u, w, fresh))
-        if not every:  # without a new member there is nothing to compare
-            some = np.bincount(u, fresh, minlength=len(ids))[u] > 0
-            u, w, fresh = u[some], w[some], fresh[some]
-        yield g, STATE, 0, 0, got[STATE][0][1]
-        yield g, NEAR, 0, 0, pack(u, w, fresh)
-        need = np.unique(w)
-        need = need[need >> PLACE != g]
-        for to, part in _to(need):
-            yield to, ASK, g, 0, pack(need[part])
-
-    return step
-
-
-def _told(g, got):
-    """Answers: codes of the nodes asked for, and the worst similarity that each still keeps."""
-    if STATE not in got:
-        return
-    yield g, STATE, 0, 0, got[STATE][0][1]
-    yield g, NEAR, 0, 0, got[NEAR][0][1]
-    if ASK in got:
-        _, codes, v, s, _ = unpack(got[STATE][0][1])
-        worst = np.where(v[:, -1] >= 0, s[:, -1], np.float32(-2))
-        for src, blob in got[ASK]:
-            keys = unpack(blob)[0]
-            at = keys & ((1 << PLACE) - 1)
-            yield src, TELL, g, 0, pack(keys, codes[at], worst[at])
-
-
-def _table(g, got) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted keys of the group's own nodes and those told, their codes and worst similarities."""
-    ids, codes, v, s, _ = unpack(got[STATE][0][1])
-    keys, worst = np.arange(len(ids)) | (g << PLACE), np.where(v[:, -1] >= 0, s[:, -1], np.float32(-2))
-    if TELL in got:
-        k, c, w = _gathered(got[TELL], 3)
-        keys, codes, worst = np.concatenate([keys, k]), np.concatenate([codes, c]), np.concatenate([worst, w])
-    order = np.argsort(keys)
-    return keys[order], codes[order], worst[order]
-
-
-def _joined(most: int):
-    """Compares the members of each list; pairs better than what either keeps are offered."""
-
-    def step(g, got):
-        ids, codes, v, s, _ = unpack(got[STATE][0][1])
-        yield g, STATE, 0, 0, pack(ids, codes, v, s, np.zeros(v.shape, bool))
-        u, w, fresh = unpack(got[NEAR][0][1])
-        if not len(u):
-            return
-        keys, codes, worst = _table(g, got)
-        x = _unit(codes)
-        lists, first, n = np.unique(u, return_index=True, return_counts=True)
-        wide = int(n.max())
-        slot = np.arange(len(u)) - np.repeat(first, n)
-        row = np.repeat(np.arange(len(lists)), n)
-        member, held, is_new = np.zeros((len(lists), wide), np.int64), np.zeros((len(lists), wide), bool), np.zeros((len(lists), wide), bool)
-        member[row, slot], held[row, slot], is_new[row, slot] = np.searchsorted(keys, w), True, fresh
-        pairs = []
-        step_ = max(1, (1 << 21) // (wide * wide))
-        for a in range(0, len(lists), step_):
-            m, ok, f = member[a : a + step_], held[a : a + step_], is_new[a : a + step_]
-            y = x[m]
-            sim = y @ y.transpose(0, 2, 1)
-            good = ok[:, :, None] & ok[:, None, :] & (f[:, :, None] | f[:, None, :]) & (m[:, :, None] != m[:, None, :]) & (sim > worst[m][:, :, None])
-            r, i, j = np.nonzero(good)
-            pairs.append((m[r, i], m[r, j], sim[r, i, j]))
-        i, j, sim = (np.concatenate(p) for p in zip(*pairs))
-        _, one = np.unique(i * len(keys) + j, return_index=True)
-        i, j, sim = i[one], j[one], sim[one]
-        best = _best(i, sim, j, most)
-        i, j, sim = keys[i[best]], keys[j[best]], sim[best]
-        for to, part in _to(i):
-            yield to, OFFER, g, 0, pack(i[part], j[part], sim[part])
-
-    return step
+def _sorted(df: DataFrame, *keys: str) -> DataFrame:
+    return df.repartition(*keys).sortWithinPartitions(*keys)
 
 
 def _release(spark: SparkSession) -> None:
@@ -373,130 +168,83 @@ def _release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def graph(codes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(packed groups with their news, names (node: key, code, id)) of the neighbour graph over codes (node, code)."""
+def graph(codes: DataFrame) -> DataFrame:
+    """Edges (u, v, sim, fresh) of the neighbour graph over codes (node, code)."""
     spark = codes.sparkSession
     n = codes.count()
     most = sizes(n)[0]
     bits = max(0, int(np.ceil(np.log2(max(1, n / CELL)))))
-    kind = "node long, code binary, cell long"
-    state = stored(_dealt(codes.mapInArrow(_cells(bits, 0), kind), 0).mapInArrow(_founded(most), _TYPES))
-    names = stored(state.mapInArrow(_keyed, "node long, code binary, id long"))
-    near = names.select("node", "code").mapInArrow(_cells(bits, 1), kind)
+    dealt = codes.mapInArrow(_cells(bits), "node long, t int, cell long, code binary")
     # one more deal by a hash of the node: cells of like size, whatever the vectors
-    plain = names.select("node", "code", F.pmod(F.xxhash64(F.lit(SEED), "node"), F.lit(max(1, -(-n // max(CELL, 4 * most))))).alias("cell"))
-    offers = [_dealt(nodes, k + 1).mapInArrow(_offered(most), _TYPES) for k, nodes in enumerate((near, plain))]
-    held = stored(_step(state.unionByName(offers[0]).unionByName(offers[1]), _merged(most)))
+    cells = max(1, int(np.ceil(n / max(CELL, 4 * most))))
+    dealt = dealt.unionByName(codes.select("node", F.lit(TABLES).alias("t"), F.pmod(F.xxhash64(F.lit(SEED), "node"), F.lit(cells)).alias("cell"), "code"))
+    counts = dealt.groupBy("t", "cell").agg(F.count("*").alias("n"))
+    dealt = dealt.join(counts, ["t", "cell"]).withColumn("salt", F.pmod(F.xxhash64("t", "node"), F.ceil(F.col("n") / (2 * CELL))).cast("int"))
+    edges = _sorted(dealt.select("t", "cell", "salt", "node", "code"), "t", "cell", "salt").mapInArrow(_first(most), "u long, v long, sim double")
+    edges = stored(_best_edges(edges.withColumn("fresh", F.lit(1)), most))
     for k in itertools.count():
-        asked = _step(held, _lists(most // 2, k, False))
-        held = stored(_step(_step(_step(asked, _told), _joined(most)), _merged(most)))
+        worst = edges.groupBy("u").agg(F.when(F.count("*") >= most, F.min("sim")).otherwise(-2.0).alias("worst"))
+        near = edges.select("u", "v", "fresh").unionByName(_reverse(edges, most // 2, k)).groupBy("u", "v").agg(F.max("fresh").alias("fresh"))
+        told = codes.join(worst, F.col("node") == F.col("u"), "left").select(F.col("node").alias("v"), "code", F.coalesce("worst", F.lit(-2.0)).alias("worst"))
+        offers = _sorted(near.join(told, "v").select("u", "v", "fresh", "code", "worst"), "u").mapInArrow(_compare, "u long, v long, sim double")
+        edges = stored(_best_edges(edges.withColumn("fresh", F.lit(0)).unionByName(offers.withColumn("fresh", F.lit(1))), most))
         _release(spark)
-        fresh, total = held.where(F.col("kind") == STATE).agg(F.sum("src"), F.sum("n")).first()
+        total, fresh = edges.agg(F.count("*"), F.sum("fresh")).first()
         if not total or fresh <= FEW * total:
-            return held, names
-
-
-# ---- search
-
-
-def _served(g, got):
-    """A group as what a search needs of it: lists of its nodes, keys and codes of all their members."""
-    u, w, _ = unpack(got[NEAR][0][1])
-    keys, codes, _ = _table(g, got)
-    yield g, SERVE, 0, 0, pack(u, np.searchsorted(keys, w), keys, codes)
-
-
-def _started(batches):
-    """Queries (g, node, code), sorted: pools that hold the query itself."""
-    for g, keys, codes in _members(batches):
-        yield _sent([(g, POOL, 0, len(keys), pack(keys, codes, np.arange(len(keys)), keys, np.ones(len(keys), np.float32), np.zeros(len(keys), bool)))])
-
-
-def _looks(g, got):
-    """Pools -> the same, all looked at, and the questions about those that were not."""
-    if SERVE in got:
-        yield g, SERVE, 0, 0, got[SERVE][0][1]
-    if POOL in got:
-        keys, codes, q, v, s, seen = unpack(got[POOL][0][1])
-        yield g, POOL, 0, 0, pack(keys, codes, q, v, s, np.ones(len(q), bool))
-        front = np.flatnonzero(~seen)
-        for to, part in _to(v[front]):
-            rows = front[part]
-            who, own = np.unique(q[rows], return_inverse=True)
-            yield to, LOOK, g, 0, pack(who, codes[who], own, v[rows])
-
-
-def _seen_by(beam: int):
-    """Similarities of a query to the members of the lists it asks about: the best of each query, as many as its pool holds."""
-
-    def step(g, got):
-        if POOL in got:
-            yield g, POOL, 0, 0, got[POOL][0][1]
-        if LOOK not in got:
-            return
-        u, at, keys, codes = unpack(got[SERVE][0][1])
-        x = _unit(codes)
-        for src, blob in got[LOOK]:
-            who, qcodes, own, v = unpack(blob)
-            place = v & ((1 << PLACE) - 1)
-            a, z = np.searchsorted(u, place), np.searchsorted(u, place, "right")
-            n = z - a
-            own = np.repeat(own, n)
-            member = at[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)]
-            pair = np.unique(own * len(keys) + member)
-            own, member = pair // len(keys), pair % len(keys)
-            s = np.einsum("ij,ij->i", _unit(qcodes)[own], x[member]) if len(own) else np.zeros(0, np.float32)
-            best = _best(own, s, member, beam)
-            yield src, SEEN, g, 0, pack(who[own[best]], keys[member[best]], s[best].astype("<f4"))
-
-    return step
-
-
-def _pooled(beam: int):
-    def step(g, got):
-        if POOL not in got:
-            return
-        keys, codes, q, v, s, seen = unpack(got[POOL][0][1])
-        if SEEN in got:
-            a, b, x = _gathered(got[SEEN], 3)
-            q, v, s, seen = np.concatenate([q, a]), np.concatenate([v, b]), np.concatenate([s, x]), np.concatenate([seen, np.zeros(len(a), bool)])
-        order = np.lexsort((~seen, v, q))  # what was looked at stays so
-        one = np.ones(len(order), bool)
-        one[1:] = (q[order][1:] != q[order][:-1]) | (v[order][1:] != v[order][:-1])
-        keep = order[one]
-        keep = keep[_best(q[keep], s[keep], v[keep], beam)]
-        yield g, POOL, 0, int((~seen[keep]).sum()), pack(keys, codes, q[keep], v[keep], s[keep], seen[keep])
-
-    return step
-
-
-def _answers(batches):
-    for batch in batches:
-        for blob in batch.column("blob").to_pylist():
-            keys, _, q, v, s, _ = unpack(blob)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[q]), pa.array(v), pa.array(s.astype(np.float64))], names=["q", "v", "sim"])
-
-
-def search(held: DataFrame, names: DataFrame, queries: DataFrame) -> DataFrame:
-    """Pools (q, v, sim), by ids, of the nodes ``queries.id`` after greedy search."""
-    spark = held.sparkSession
-    most, beam = sizes(names.count())
-    serve = stored(_step(_step(_step(held, _lists(most, SEED, True)), _told), _served))
-    asks = names.join(queries, "id").select(F.shiftrightunsigned("node", PLACE).alias("g"), "node", "code")
-    pool = stored(asks.repartition("g").sortWithinPartitions("g", "node").mapInArrow(_started, _TYPES))
-    while pool.agg(F.sum("n")).first()[0]:
+            return edges
+
+
+def _look(beam: int):
+    return lambda batches: _look_of(batches, beam)
+
+
+def _look_of(batches, beam: int):
+    """Rows (q, kind, v, sim, seen, code), sorted by q: the query's code (0), its pool (1), new nodes (2) -> the pool."""
+    out: list[tuple] = []
+    for (q,), held in T.groups(batches, 1):
+        kind, v = np.array(_column(held, "kind")), np.array(_column(held, "v"), np.int64)
+        sim, seen, code = np.array(_column(held, "sim"), np.float64), np.array(_column(held, "seen")), _column(held, "code")
+        own = _unit([code[int(np.flatnonzero(kind == 0)[0])]])[0]
+        pool = kind == 1
+        fresh, at = np.unique(v[kind == 2], return_index=True)
+        at = np.flatnonzero(kind == 2)[at][~np.isin(fresh, v[pool])]
+        s = _unit([code[i] for i in at.tolist()]) @ own if len(at) else np.zeros(0)
+        node, value, done = np.concatenate([v[pool], v[at]]), np.concatenate([sim[pool], s]), np.concatenate([np.ones(pool.sum(), bool), np.zeros(len(at), bool)])
+        best = np.lexsort((node, -value))[:beam]
+        out += [(int(q), int(node[i]), float(value[i]), bool(done[i])) for i in best.tolist()]
+        if len(out) > 20_000:
+            yield _pool(out)
+            out = []
+    if out:
+        yield _pool(out)
+
+
+def _pool(rows) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["q", "v", "sim", "seen"])
+
+
+def search(edges: DataFrame, codes: DataFrame, queries: DataFrame) -> DataFrame:
+    """Pools (q, v, sim) of nodes ``queries.q`` after greedy search."""
+    spark = edges.sparkSession
+    most, beam = sizes(codes.count())
+    near = stored(edges.select("u", "v", "fresh").unionByName(_reverse(edges, most, SEED)).select("u", "v").distinct())
+    own = stored(queries.join(codes.toDF("q", "code"), "q").select("q", "code"))
+    pool = stored(queries.select("q", F.col("q").alias("v"), F.lit(1.0).alias("sim"), F.lit(False).alias("seen")))
+    while pool.where("not seen").limit(1).count():
+        front = pool.where("not seen").select("q", F.col("v").alias("u"))
         # the pool only gets better, so a node that left it never comes back and the front runs empty
-        looked = _step(pool, _looks)
-        pool = stored(_step(_step(looked.unionByName(serve), _seen_by(beam)), _pooled(beam)))
+        found = front.join(near, "u").select("q", "v").distinct().join(pool.select("q", "v"), ["q", "v"], "left_anti").join(codes.toDF("v", "code"), "v")
+        found = found.select("q", F.lit(2).alias("kind"), "v", F.lit(0.0).alias("sim"), F.lit(False).alias("seen"), "code")
+        rows = own.select("q", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("v"), F.lit(0.0).alias("sim"), F.lit(True).alias("seen"), "code")
+        rows = rows.unionByName(pool.select("q", F.lit(1).alias("kind"), "v", "sim", F.lit(True).alias("seen"), F.lit(None).cast("binary").alias("code"))).unionByName(found)
+        pool = stored(_sorted(rows, "q").mapInArrow(_look(beam), "q long, v long, sim double, seen boolean"))
         _release(spark)
-    got = pool.mapInArrow(_answers, "q long, v long, sim double")
-    ids = names.select("node", "id")
-    return got.join(ids.toDF("q", "_q"), "q").join(ids.toDF("v", "_v"), "v").select(F.col("_q").alias("q"), F.col("_v").alias("v"), "sim")
+    return pool.select("q", "v", "sim")
 
 
 def _scaled(x: np.ndarray) -> np.ndarray:
     """Rows times powers of two (exact), so that the largest component is about 1."""
-    return np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None]) if len(x) else x
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
 
 
 def _cosine(batches):
@@ -505,14 +253,15 @@ def _cosine(batches):
         if not batch.num_rows:
             continue
         a, b = (_scaled(batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)) for c in ("x", "y"))
-        dot = lambda x, y: np.array([float(p @ q) for p, q in zip(x, y)])
+        dot = lambda x, y: np.matmul(x[:, None, :], y[:, :, None]).ravel()
         yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("v"), pa.array(dot(a, b) / (np.sqrt(dot(a, a)) * np.sqrt(dot(b, b))))], names=["q", "v", "score"])
 
 
 def _of_one_length(rows: DataFrame, k: int) -> DataFrame:
     nodes = stored(rows.groupBy("vec").agg(F.min("vec_id").alias("node")))
     ids = stored(rows.join(nodes, "vec").select("vec_id", "node", "asks"))
-    pool = search(*graph(stored(nodes.mapInArrow(_codes, "node long, code binary"))), ids.where("asks").select(F.col("node").alias("id")).distinct())
+    codes = stored(nodes.mapInArrow(_codes, "node long, code binary"))
+    pool = search(graph(codes), codes, ids.where("asks").select(F.col("node").alias("q")).distinct())
     again = Window.partitionBy("q").orderBy(F.desc("sim"), "v")
     pool = pool.withColumn("_n", F.row_number().over(again)).where(F.col("_n") <= max(AGAIN, k + 1)).drop("_n")
     pool = pool.join(nodes.toDF("x", "q"), "q").join(nodes.toDF("y", "v"), "v").select("q", "v", "x", "y")
@@ -529,11 +278,10 @@ def _of_one_length(rows: DataFrame, k: int) -> DataFrame:
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5, *, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row that ``is_query`` (of the id column) marks."""
-    rows = in_small_batches(vectors).select(integer_id(vectors, id_col).alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec"), is_query.alias("asks"))
+    rows = vectors.select(integer_id(vectors, id_col).alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec"), is_query.alias("asks"))
     rows = rows.where(usable(F.col("vec")) & F.col("vec_id").isNotNull())
     lengths = sorted(r.n for r in rows.select(F.size("vec").alias("n")).distinct().collect())
-    found = [_of_one_length(rows.where(F.size("vec") == n), k) for n in lengths or [0]]
-    return reduce(DataFrame.unionByName, found)
+    return reduce(DataFrame.unionByName, [_of_one_length(rows.where(F.size("vec") == n), k) for n in lengths or [0]])
 
 
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
