@@ -608,6 +608,28 @@ def test_strays_find_and_are_found(spark, monkeypatch):
     assert hits >= 0.9 * 60
 
 
+def test_shards_find_the_nearest_without_rounds_of_jobs(spark, monkeypatch):
+    """Eight shards of independent vectors: nine tenths of brute force, every edge inside a shard, and few Spark jobs."""
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(1600, 32))
+    x[1000:1040] = x[1000] + 1e-3 * rng.normal(size=(40, 32))  # a tight group, spread over the shards
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(neighbours, "SHARD", 200, raising=False)
+    spark.sparkContext.setJobGroup("op10 shards", "")
+    try:
+        got = neighbours.nearest(df, F.col("vec_id") % 50 == 0).toPandas()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("op10 shards")) < 40
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = {q: set(np.argsort(-np.where(np.arange(1600) == q, -9, y @ y[q]))[:5]) for q in range(0, 1600, 50)}
+    assert (got.groupby("query_id").size() == 5).sum() == 32 and sum(len(near[q] & set(g.vec_id)) for q, g in got.groupby("query_id")) >= 0.9 * 160
+    codes = spark.createDataFrame([(i, np.round(v / np.abs(v).max() * 32767).astype("<i2").tobytes()) for i, v in enumerate(x)], "node long, code binary")
+    shards, shard = neighbours._shard(1600)
+    of = {r.node: r.s for r in codes.select("node", shard.alias("s")).collect()}
+    assert shards == 8 == len(set(of.values())) and all(of[r.u] == of[r.v] for r in neighbours.graph(codes).collect())
+
+
 # ---- the pipeline
 
 
