@@ -61,11 +61,35 @@ def band_join(left: DataFrame, x: str, right: DataFrame, y: str, width: float, k
 
 
 def nearest(left: DataFrame, left_id: str, x: str, right: DataFrame, right_id: str, y: str, width: float, last_wins: bool = True) -> DataFrame:
-    """Each left row with its nearest right row within ``width`` (inclusive); of equals the last (or first) id wins."""
-    got = band_join(left, x, right, y, width)
-    tie = F.desc(right_id) if last_wins else F.asc(right_id)
-    w = Window.partitionBy(left_id).orderBy(F.abs(F.col(x) - F.col(y)), tie)
-    return got.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """Each left row with its nearest right row within ``width`` (inclusive); of equals the last (or first) id wins.
+
+    Rows are told apart as rows, not by ``left_id``. Of right rows at one place only the winner is kept; both sides are sorted
+    together inside cells of an eighth of the width, which also get the ends of the cells in reach, so a left row meets the
+    right places before and after it and no pair is made. Places whose distances may round to one number travel together.
+    """
+    part, reach, close = width / 8, 9, width * 2.0**-51
+    most, best = (F.max, F.max_by) if last_wins else (F.min, F.min_by)
+    at, cell = F.col("_at"), F.floor(F.col("_at") / part).alias("_cell")
+    place = right.select(F.col(y).cast("double").alias("_at"), F.struct(F.col(right_id).isNotNull().alias("known"), F.col(right_id).alias("id")).alias("_id"), F.struct("*").alias("_r"))
+    place = place.where(F.abs(at) < float("inf")).groupBy("_at").agg(most("_id").alias("_id"), best("_r", "_id").alias("_r"))
+    inside = Window.partitionBy("_cell").orderBy("_at")
+    place = place.select("*", cell).withColumn("_new", F.coalesce(at - F.lag("_at").over(inside) > close, F.lit(True)))
+    place = place.withColumn("_run", F.sum(F.col("_new").cast("int")).over(inside)).groupBy("_cell", "_run").agg(F.min("_at").alias("_first"), F.collect_list(F.struct("_at", "_id", "_r")).alias("_p"))
+    place = place.select("_cell", F.col("_first").alias("_at"), "_p")
+    ends = place.groupBy("_cell").agg(F.min_by(F.struct("_at", "_p"), "_at").alias("a"), F.max_by(F.struct("_at", "_p"), "_at").alias("z"))
+    ends = ends.select("*", F.explode(F.sequence(F.lit(1), F.lit(reach))).alias("_o")).select(F.explode(F.array(F.struct((F.col("_cell") - F.col("_o")).alias("_cell"), F.col("a").alias("e")), F.struct((F.col("_cell") + F.col("_o")).alias("_cell"), F.col("z").alias("e")))).alias("_e"))
+    place = place.unionByName(ends.select("_e._cell", "_e.e._at", "_e.e._p"))
+    rows = left.select(F.col(x).cast("double").alias("_at"), F.struct("*").alias("_l")).where(F.abs(at) < float("inf")).select("*", cell)
+    rows = rows.join(place.select("_cell").distinct(), "_cell", "left_semi")
+    both = place.withColumn("_l", F.lit(None).cast(rows.schema["_l"].dataType)).unionByName(rows.withColumn("_p", F.lit(None).cast(place.schema["_p"].dataType)))
+    met = lambda o: F.coalesce(F.last("_p", True).over(Window.partitionBy("_cell").orderBy(o, F.col("_l").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)), F.array())
+    both = both.select("_l", "_at", met(F.asc("_at")).alias("_a"), met(F.desc("_at")).alias("_z")).where("_l is not null")
+    far = F.transform(F.concat("_a", "_z"), lambda c: F.struct(F.abs(at - c["_at"]).alias("d"), c["_id"].alias("id"), c["_r"].alias("r")))
+    both = both.select("_l", far.alias("_c")).select("_l", "_c", F.array_min(F.transform("_c", lambda c: c["d"])).alias("_d")).where(F.col("_d") <= width)
+    least = F.filter("_c", lambda c: c["d"] == F.col("_d"))
+    ahead = (lambda m, c: c["id"] > m["id"]) if last_wins else (lambda m, c: c["id"] < m["id"])
+    won = F.aggregate(least, F.element_at(least, 1), lambda m, c: F.when(ahead(m, c), c).otherwise(m))
+    return both.select("_l", won["r"].alias("_r")).select("_l.*", "_r.*")
 
 
 def interpolate(points: DataFrame, key: str, at: str, value: str, probes: DataFrame, probe_at: str, width: float) -> DataFrame:

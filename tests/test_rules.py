@@ -159,6 +159,22 @@ def test_blocks_see_their_neighbours(spark):
             assert r.run == n
 
 
+def test_nearest_by_brute_force_and_without_pairs(spark):
+    """Rows of equal ids are rows apart; ties, odd values and places whose distances round alike; and no pairs are made."""
+    rng = np.random.default_rng(8)
+    left = [(i // 2, float(v)) for i, v in enumerate(np.round(rng.uniform(-60, 60, 150), 1))] + [(7, 6.0), (7, 6.0), (8, None), (9, float("nan")), (10, float("inf")), (11, 7.0), (12, -500.0)]
+    right = [(i, float(v)) for i, v in enumerate(np.round(rng.uniform(-90, 40, 60), 1)) if abs(v) > 8] + [(100, 1e-17), (101, 2e-17), (102, 1e-17), (103, None), (104, float("nan")), (105, 14.0)]
+    a, b = spark.createDataFrame(left, "a int, x double"), spark.createDataFrame(right, "b int, y double")
+    for last in (True, False):
+        want = []
+        for i, x in left:
+            near = [(abs(x - y), -j if last else j, j) for j, y in right if x is not None and y is not None and abs(x - y) <= 7]
+            want += [(i, x, min(near)[2])] if near else []
+        got = J.nearest(a, "a", "x", b, "b", "y", 7.0, last_wins=last)
+        assert got.columns == ["a", "x", "b", "y"] and sorted((r.a, r.x, r.b) for r in got.collect()) == sorted(want)
+    assert "Join Inner" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_quantiles_by_brute_force(spark):
     rng = np.random.default_rng(4)
     rows = [(g, float(v)) for g, n in (("a", 1), ("b", 2), ("c", 101), ("d", 60)) for v in np.round(rng.normal(size=n), 1)] + [("d", 3.0)] * 40 + [("e", None)]
