@@ -92,15 +92,20 @@ def nearest(left: DataFrame, left_id: str, x: str, right: DataFrame, right_id: s
     return both.select("_l", won["r"].alias("_r")).select("_l.*", "_r.*")
 
 
-def interpolate(points: DataFrame, key: str, at: str, value: str, probes: DataFrame, probe_at: str, width: float) -> DataFrame:
+def interpolate(points: DataFrame, key: str, at: str, value: str, probes: DataFrame, probe_at: str, width: float | None = None) -> DataFrame:
     """As-of join on both sides: linear interpolation between the bracketing points, clamped at the ends.
 
     points has one row for each (key, at). Probes and points are sorted together inside cells of ``width`` along ``at``;
-    a cell's neighbours are known by their first and last points only, so no task sorts a key and no pair is made.
+    a cell's neighbours are known by their first and last points only, so no task sorts a key and no pair is made. Without a
+    width, one is taken from the range and the number of the rows: about 10,000 rows a cell, if they lie evenly.
     """
     p = points.select(key, F.col(at).cast("double").alias("_at"), F.col(value).cast("double").alias("_v"), F.lit(0).alias("_probe"))
     q = probes.select(key, F.col(probe_at).cast("double").alias("_at"), F.lit(None).cast("double").alias("_v"), F.lit(1).alias("_probe"))
-    both = p.unionByName(q).withColumn("_cell", F.floor(F.col("_at") / width)).withColumn("_p", F.when(F.col("_probe") == 0, F.struct(F.col("_at").alias("x"), F.col("_v").alias("y"))))
+    both = p.unionByName(q)
+    if width is None:
+        n, low, high = both.agg(F.count("_at"), F.min("_at"), F.max("_at")).first()
+        width = (high - low) / max(1, n // 10_000) or 1.0 if n else 1.0
+    both = both.withColumn("_cell", F.floor(F.col("_at") / width)).withColumn("_p", F.when(F.col("_probe") == 0, F.struct(F.col("_at").alias("x"), F.col("_v").alias("y"))))
     ends = both.groupBy(key, "_cell").agg(F.min("_p").alias("_first"), F.max("_p").alias("_last"))
     cells = lambda o: Window.partitionBy(key).orderBy(o).rowsBetween(Window.unboundedPreceding, -1)  # noqa: E731  one row a cell
     ends = ends.select(key, "_cell", F.last("_last", True).over(cells(F.asc("_cell"))).alias("_left"), F.last("_first", True).over(cells(F.desc("_cell"))).alias("_right"))
