@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.markdown import markdown_html, with_heading_ids
 from ledgerline.operators import greedy as G
+from ledgerline.operators import grids as H
 from ledgerline.operators import joins as J
 from ledgerline.operators import ranks as R
 from ledgerline.operators import series as S
@@ -175,6 +176,41 @@ def test_nearest_by_brute_force_and_without_pairs(spark):
     assert "Join Inner" not in got._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_labels_of_runs_by_brute_force(spark, monkeypatch):
+    """Components over many strips and images, one of them null, with a snake that crosses every strip."""
+    monkeypatch.setattr(H, "STRIP", 4, raising=False)
+    rng = np.random.default_rng(9)
+    cells = {(None if g == 2 else g, int(y) - 20, int(x) - 15) for g in range(3) for y, x in np.argwhere(rng.uniform(size=(40, 30)) < 0.45)}
+    cells |= {(5, y, x) for y in range(41) for x in range(21) if y % 2 == 0 or x == (20 if y % 4 == 1 else 0)}
+    df = spark.createDataFrame(sorted(cells, key=str), "image int, y int, x int")
+    for corners in (True, False):
+        steps = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if corners or not i or not j]
+        want, left = set(), set(cells)
+        while left:
+            group, todo = set(), [left.pop()]
+            while todo:
+                g, y, x = todo.pop()
+                group.add((g, y, x))
+                near = {(g, y + i, x + j) for i, j in steps} & left
+                left -= near
+                todo += near
+            want.add(frozenset(group))
+        got = H.label_runs(df, ["image"], "y", "x", corners).collect()
+        found = {}
+        for r in got:
+            found.setdefault(r.comp, []).extend((r.image, r.y, x) for x in range(r.a, r.z))
+        assert {frozenset(c) for c in found.values()} == want and sum(map(len, found.values())) == len(cells)
+        assert all(r.comp == min(q.id for q in got if q.comp == r.comp) for r in got[::20])
+
+
+def test_parts_of_a_strip():
+    """Touching runs and least ids on a small strip, by hand: no Spark job is needed inside a strip."""
+    y, a, z = np.array([0, 0, 1, 1, 3]), np.array([-2, 3, 1, 5, 1]), np.array([1, 5, 3, 9, 2])
+    pairs = lambda corners: set(zip(*(p.tolist() for p in H.touching(y, a, z, corners))))
+    assert pairs(True) == {(0, 2), (1, 2), (1, 3)} and pairs(False) == set()
+    assert H.least_of_component(np.array([7, -5, 9, 2, 1]), np.array([0, 1]), np.array([2, 2])).tolist() == [-5, -5, -5, 2, 1]
+
+
 def test_quantiles_by_brute_force(spark):
     rng = np.random.default_rng(4)
     rows = [(g, float(v)) for g, n in (("a", 1), ("b", 2), ("c", 101), ("d", 60)) for v in np.round(rng.normal(size=n), 1)] + [("d", 3.0)] * 40 + [("e", None)]
