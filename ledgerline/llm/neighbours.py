@@ -7,8 +7,8 @@ neighbours and some reverse neighbours and compares those with one another (pair
 edges change. Shards, and with them the edges of a node and the beam of a query (``sizes``), grow with the number of nodes
 up to a bound. Vectors travel as 16-bit codes.
 
-Every query walks the graph of every shard, from its own node, where that is in the shard, and from the best of some nodes
-taken evenly from the shard. It keeps the best nodes seen, as many as the beam holds, and looks at all neighbours and reverse
+Every query walks the graph of every shard, from its own node, where that is in the shard, and from the best of one in four
+nodes of the shard, so that it meets groups that no edge leads to. It keeps the best nodes seen, as many as the beam holds, and looks at all neighbours and reverse
 neighbours of those not yet looked at, until none is left. The best of all shards are ranked again by the cosine of the
 original vectors in double precision; nodes are expanded to the smallest ids of their equal vectors, so ties go to the smaller id.
 
@@ -38,7 +38,7 @@ SMALL = 10_000  # up to so many nodes EDGES and BEAM hold; they grow from there
 EDGES, BEAM = 24, 96
 SHARD, LARGEST, SHARDS = 8192, 65_536, 24  # nodes of a shard: so many at least and at most; in between there are SHARDS shards
 CELL, TABLES = 256, 2  # nodes of a cell of the first step, and how often nodes are dealt
-ENTRIES = 256  # nodes of a shard that every query is compared with
+ENTRIES, EVERY = 256, 4  # nodes of a shard that every query is compared with: so many at least, and one in so many; a group without edges to others has more nodes than edges a node
 STEP, BLOCK = 8, 128  # nodes of a pool that a step looks at, and queries that walk together
 TELL = 10  # edges that one node's round offers to each neighbour
 FEW = 0.02  # share of new edges that ends the rounds
@@ -185,7 +185,7 @@ def graph(codes: DataFrame) -> DataFrame:
 def walk(x: np.ndarray, near: np.ndarray, asks: np.ndarray, own: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """Pools of queries ``asks`` after greedy search over the graph ``near``, best first: nodes (-1: none), likeness. ``own``: a query's node, or -1."""
     n, m = len(x), len(asks)
-    starts = np.linspace(0, n - 1, min(n, ENTRIES)).astype(np.int64)
+    starts = np.linspace(0, n - 1, min(n, max(ENTRIES, n // EVERY))).astype(np.int64)
     s = asks @ x[starts].T
     k = min(beam, STEP, len(starts))
     best = np.argpartition(-s, k - 1, axis=1)[:, :k]

@@ -630,6 +630,17 @@ def test_shards_find_the_nearest_without_rounds_of_jobs(spark, monkeypatch):
     assert shards == 8 == len(set(of.values())) and all(of[r.u] == of[r.v] for r in neighbours.graph(codes).collect())
 
 
+def test_walks_enter_groups_that_no_edge_leads_to():
+    """Tight groups a little larger than a node's edges, in mixed order: queries that are not in the graph find theirs."""
+    rng = np.random.default_rng(14)
+    unit = lambda a: (a / np.linalg.norm(a, axis=1, keepdims=True)).astype(np.float32)
+    middle, of = rng.normal(size=(150, 64)), rng.permutation(np.repeat(np.arange(150), 27))
+    x, q = unit(middle[of] + 0.15 * rng.normal(size=(len(of), 64))), unit(middle[:128] + 0.15 * rng.normal(size=(128, 64)))
+    pool, sim = neighbours.walk(x, neighbours.descend(x)[0], q, np.full(128, -1), neighbours.sizes(len(x))[1])
+    want = np.argsort(-(q @ x.T), axis=1)[:, :5]
+    assert sum(len(set(p[:5]) & set(w)) for p, w in zip(pool.tolist(), want.tolist())) >= 0.95 * 640 and (np.diff(sim, axis=1) <= 0).all()
+
+
 # ---- the pipeline
 
 
